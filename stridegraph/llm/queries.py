@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stridegraph.llm import fingerprints, html_extract, mixing
+from stridegraph.llm import fingerprints, html_extract, lm, mixing
 from stridegraph.llm.common import table
 
 
@@ -14,9 +14,13 @@ def op7_html_extract(spark, sf_dir):
     return html_extract.extracted(table(spark, sf_dir, "pages"))
 
 
+def op8_lm_scores(spark, sf_dir):
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark, sf_dir):
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op7_html_extract, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op4_mix_sources, op7_html_extract, op8_lm_scores, op10_fingerprints)}
 ORACLES: dict[str, str] = {}
