@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from stridegraph.llm import fingerprints, html_extract, lm, mixing
+from stridegraph.llm import fingerprints, html_extract, lm, mixing, packing
 from stridegraph.llm.common import table
 
 
+def op3_best_fit_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("hash", "copies")
 
@@ -22,5 +26,5 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op7_html_extract, op8_lm_scores, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_mix_sources, op7_html_extract, op8_lm_scores, op10_fingerprints)}
 ORACLES: dict[str, str] = {}
