@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from stridegraph.llm import fingerprints, html_extract, lm, mixing, packing
+from stridegraph.llm import fingerprints, html_extract, lm, mixing, packing, quality_rules
 from stridegraph.llm.common import table
 
 
+def op1_quality_rules(spark, sf_dir):
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -26,5 +30,5 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op4_mix_sources, op7_html_extract, op8_lm_scores, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op4_mix_sources, op7_html_extract, op8_lm_scores, op10_fingerprints)}
 ORACLES: dict[str, str] = {}
