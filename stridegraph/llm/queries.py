@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stridegraph.llm import fingerprints, html_extract, lm, mixing, packing, quality_rules
+from stridegraph.llm import fingerprints, html_extract, lm, mixing, packing, pii, quality_rules
 from stridegraph.llm.common import table
 
 
@@ -26,9 +26,13 @@ def op8_lm_scores(spark, sf_dir):
     return lm.scored(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark, sf_dir):
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark, sf_dir):
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op4_mix_sources, op7_html_extract, op8_lm_scores, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op4_mix_sources, op7_html_extract, op8_lm_scores, op9_pii, op10_fingerprints)}
 ORACLES: dict[str, str] = {}
