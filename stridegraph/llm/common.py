@@ -99,31 +99,24 @@ def tasks_for(spark: SparkSession, at_least: int = 1) -> int:
 def components(scratch: Scratch, links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b): rows (node, root), root the least node of the component.
 
-    Alternates large-star and small-star steps: every step is a map and two aggregations, so a
-    hub of any degree is pre-aggregated before its rows meet, and the number of steps is
-    logarithmic. Nulls and loops are dropped; nodes without links have no row.
+    Alternates large-star and small-star steps, so the number of steps is logarithmic. What a step
+    looks up is written first: both sides of its join then are plain exchanges, and a hub of any
+    degree can be split among tasks. Nulls and loops are dropped; nodes without links have no row.
     """
-    e = scratch.keep(
-        links.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    e = scratch.keep(links.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(rounds):
         # large star: neighbours above a node are tied to the least of its neighbourhood
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")))
+        large = scratch.keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: neighbours below a node, and the node, are tied to the least of them
-        large = large.where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        star = large.join(low, "u")
-        new = scratch.keep(
-            star.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        )
+        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")))
+        new = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        new = scratch.keep(new.distinct())
         # done when nothing hangs deeper than one below its root and each node has one root
-        deep = new.select("v").distinct().join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
-        twice = 0 if deep else new.groupBy("u").count().where("count > 1").limit(1).count()
+        parents = scratch.keep(new.select("v").distinct())
+        deep = new.join(parents.withColumnRenamed("v", "p"), F.col("u") == F.col("p")).limit(1).count()
         e = new
-        if not deep and not twice:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        if not deep and not new.groupBy("u").count().where("count > 1").limit(1).count():
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(parents.select(F.col("v").alias("node"), F.col("v").alias("root")))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

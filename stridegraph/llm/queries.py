@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stridegraph.llm import classifier, fingerprints, html_extract, lm, mixing, packing, pii, quality_rules
+from stridegraph.llm import classifier, fingerprints, html_extract, lm, mixing, ngram_join, packing, pii, quality_rules
 from stridegraph.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op3_best_fit_packing(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -39,5 +43,5 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_best_fit_packing, op4_mix_sources, op6_quality_classifier, op7_html_extract, op8_lm_scores, op9_pii, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_best_fit_packing, op4_mix_sources, op6_quality_classifier, op7_html_extract, op8_lm_scores, op9_pii, op10_fingerprints)}
 ORACLES: dict[str, str] = {}
