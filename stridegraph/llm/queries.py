@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stridegraph.llm import classifier, fingerprints, html_extract, lm, mixing, ngram_join, packing, pii, quality_rules
+from stridegraph.llm import classifier, fingerprints, html_extract, lm, mixing, ngram_join, packing, pii, quality_rules, suffix_dedup
 from stridegraph.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("hash", "copies")
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return classifier.scored(docs, classifier.fitted(docs, table(spark, sf_dir, "labels")))
@@ -43,5 +47,5 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_best_fit_packing, op4_mix_sources, op6_quality_classifier, op7_html_extract, op8_lm_scores, op9_pii, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_best_fit_packing, op4_mix_sources, op5_suffix_dedup, op6_quality_classifier, op7_html_extract, op8_lm_scores, op9_pii, op10_fingerprints)}
 ORACLES: dict[str, str] = {}
