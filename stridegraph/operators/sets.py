@@ -175,7 +175,10 @@ def _algebra(a: DataFrame, b: DataFrame, keep: Column, how: str, stretch: int) -
     if len(ls) == 1:
         return _sweep(a, b, keep, stretch, known)
     x, y = _cells(a, b, ls)
-    out = x.unionByName(y).distinct() if how == "union" else x.join(y, x.columns, how)
+    if how == "either":
+        out = x.exceptAll(y).unionByName(y.exceptAll(x))
+    else:
+        out = x.unionByName(y).distinct() if how == "union" else x.join(y, x.columns, how)
     return out.select(F.array(*[_rebuilt(k, l) for k, l in enumerate(ls)]).alias("dims"))
 
 
@@ -204,7 +207,7 @@ def complement(df: DataFrame, low: int = 0, high: int = iv.INF - 1) -> DataFrame
 
 def equal(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: equal, by elements, however they are split into pieces."""
-    rest = difference(a, b).unionByName(difference(b, a))
+    rest = _algebra(a, b, (F.col("a") > 0) != (F.col("b") > 0), "either", STRETCH)
     return rest.agg((F.count(F.lit(1)) == 0).alias("equal"))
 
 
