@@ -26,7 +26,7 @@ from stridegraph.llm.bytewords import SPACE, hashes, mixed, runs
 from stridegraph.llm.common import Scratch
 
 #: Production parameters: bounds of the samples, rounds of exchange, part of the pool that a view labels in a round, least certainty, and the score from which a document is kept.
-LABELLED, POOL, ROUNDS, SHARE, CERTAIN, KEEP = 4000, 4000, 4, 0.08, 0.95, 0.5
+LABELLED, POOL, ROUNDS, SHARE, CERTAIN, KEEP = 3000, 3000, 4, 0.08, 0.95, 0.5
 TEXT_BITS, META_BITS = 17, 12
 #: Weight of a text's shares; logistic regression sees shares of words, which are small.
 SCALE = 20.0
@@ -202,21 +202,39 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled:
     rest = scratch.keep(docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(pool))
     wanted = F.broadcast(known.join(rest, "doc_id", "full").select(F.col("doc_id").alias("_id"), "y"))  # at most labelled + pool rows
     rows = docs.join(wanted, docs.doc_id == F.col("_id")).select("_id", "y", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", "n_chars").dropDuplicates(["_id"])
-    got = rows.sort("_id").toArrow() if rows.columns else None
+
+    def summed(batches):
+        """Rows become their features, each named once, so that what travels is small."""
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                n, cols = part.num_rows, []
+                for at, col, val in features(*(part.column(i).to_pylist() for i in range(2, 6))):
+                    keys, back = np.unique(at.astype(np.int64) << 32 | col, return_inverse=True)
+                    total = np.bincount(back, val, len(keys)).astype("<f4")
+                    cut = np.searchsorted(keys >> 32, np.arange(1, n))
+                    cols += [pa.array([x.astype("<i4").tobytes() for x in np.split(keys & 0xFFFFFFFF, cut)], pa.binary()), pa.array([x.tobytes() for x in np.split(total, cut)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["id", "y", "a", "b", "c", "d"])
+
+    got = rows.mapInArrow(summed, "id long, y double, a binary, b binary, c binary, d binary").sort("id").toArrow()
     model = CoTrained()
     if not got.num_rows:
         return model
     y = np.array(got.column("y").to_pylist(), float)
     on = ~np.isnan(y)
-    apart = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in got.column("_id").to_pylist()])
-    views = features(*(got.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")))
+    apart = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in got.column("id").to_pylist()])
+    views = []
+    for cols, vals in (("a", "b"), ("c", "d")):
+        parts = [np.frombuffer(x, "<i4") for x in got.column(cols).to_pylist()]
+        views.append((np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts]), np.concatenate(parts), np.frombuffer(b"".join(got.column(vals).to_pylist()), "<f4")))
+    del got, parts
     return model.fit(views, np.where(on, (np.nan_to_num(y) >= 0.5).astype(float), 0.0), on, apart)
 
 
 def _scores(model: CoTrained, batch: pa.RecordBatch) -> np.ndarray:
     names = batch.schema.names
     cols = [batch.column(names.index(c)).to_pylist() for c in ("text", "lang", "source", "n_chars")]
-    out = [model.score([t or "" for t in cols[0][lo : lo + 1000]], *(c[lo : lo + 1000] for c in cols[1:])) for lo in range(0, len(cols[0]), 1000)]
+    out = [model.score([t or "" for t in cols[0][lo : lo + 200]], *(c[lo : lo + 200] for c in cols[1:])) for lo in range(0, len(cols[0]), 200)]
     return np.concatenate(out) if out else np.empty((0, 3))
 
 
