@@ -41,8 +41,20 @@ def connected_components(g: Graph) -> DataFrame:
 
 
 def least_reachable(scratch: Scratch, v: DataFrame, e: DataFrame) -> DataFrame:
-    """(id, rep): the least vertex that a path along e reaches, the vertex itself included."""
-    r = scratch.keep(v.select("id", F.col("id").alias("rep")))
+    """(id, rep): the least vertex that a path along e reaches, the vertex itself included.
+
+    Vertices with one edge out are chains: doubling takes each to the chain's end, with the least
+    vertex on the way, so long chains and rings need rounds by the logarithm of their length. Labels
+    then travel along what is left.
+    """
+    out = e.groupBy("src").agg(F.countDistinct("dst").alias("n"), F.min("dst").alias("p"))
+    chain = scratch.keep(out.where("n = 1").select("src", "p", F.least("src", "p").alias("m")))
+    for _ in range(max(1, chain.count()).bit_length()):
+        on = chain.select(F.col("src").alias("p"), F.col("p").alias("q"), F.col("m").alias("m2"))
+        chain = scratch.keep(chain.join(on, "p", "left").select("src", F.coalesce("q", "p").alias("p"), F.least("m", F.coalesce("m2", "m")).alias("m")))
+    many = e.join(chain.select("src"), "src", "left_anti").select("src", "dst")
+    e = scratch.keep(many.unionByName(chain.select("src", F.col("p").alias("dst"))))
+    r = scratch.keep(v.join(chain.select(F.col("src").alias("id"), "m"), "id", "left").select("id", F.least("id", F.coalesce("m", "id")).alias("rep")))
     for _ in range(ROUNDS):
         ahead = e.join(r, e.dst == r.id).groupBy("src").agg(F.min("rep").alias("far"))
         new = scratch.keep(r.join(ahead, r.id == ahead.src, "left").select("id", F.least("rep", F.coalesce("far", "rep")).alias("rep")))
