@@ -36,7 +36,7 @@ from stridegraph.llm.lm import in_blocks, ranges
 from stridegraph.llm.suffix_array import common_prefixes, suffix_array
 
 #: Production parameters: bytes of a repeated string, of an anchor, distinct contexts from which an anchor is hot, bytes of a segment, bytes of a shard, documents of a block.
-WINDOW, GRAM, HOT, SEGMENT, SHARD, BLOCK = 200, 64, 256, 1 << 20, 1 << 20, 4096
+WINDOW, GRAM, HOT, SEGMENT, SHARD, BLOCK = 200, 64, 256, 1 << 19, 1 << 18, 4096
 
 
 def pack(x: np.ndarray, kind: str) -> bytes:
@@ -80,11 +80,16 @@ class Contexts:
     def _segment(self, at: int, upto: int, stops: np.ndarray, window: int, gram: int):
         buf = self.buf[at:upto]
         total, inverse = running(buf), powers(len(buf) + 1)[1]
-        grams = mixed((total[gram:] - total[:-gram]) * inverse[: len(buf) - gram + 1])
+        grams = (total[gram:] - total[:-gram]) * inverse[: len(buf) - gram + 1]
+        grams ^= grams >> np.uint64(32)  # a light scramble: only the order must look random
+        grams *= np.uint64(0x9E3779B97F4A7C15)
         w = window - gram + 1
         anchor = sliding(grams, w, np.minimum)
-        stop = stops[np.searchsorted(stops, np.arange(at, upto - window + 1), "right")]
-        inside = np.arange(at, upto - window + 1) + window <= stop
+        n_places = upto - window + 1 - at
+        first, last = (int(np.searchsorted(stops, x, "right")) for x in (at, at + n_places - 1))
+        own_stops = stops[first : last + 1]
+        stop = np.repeat(own_stops, np.diff(np.concatenate(([at], np.minimum(own_stops, at + n_places)))))
+        inside = np.arange(at + window, at + window + n_places) <= stop
         anchor = np.where(inside, anchor, np.uint64(0))
         edge = np.r_[True, (anchor[1:] != anchor[:-1]) | (stop[1:] != stop[:-1])]
         begin = np.flatnonzero(edge)
