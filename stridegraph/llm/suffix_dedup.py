@@ -107,7 +107,7 @@ class Contexts:
         twice = np.bincount(which, grams[gram_at] == own[which], len(begin)) > 1
         last = begin + n + window - 1
         whole = mixed((total[last] - total[begin]) * inverse[begin] + n.astype(np.uint64))
-        return begin + at, n, own, whole, twice
+        return begin + at, n, mixed(own), whole, twice  # least hashes are all small; scrambled, they spread over the ranges
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and hashes of all windows of some contexts, given in ascending order."""
