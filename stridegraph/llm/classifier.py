@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridegraph.llm.bytewords import SPACE, hashes, mixed, runs
-from stridegraph.llm.common import Scratch
+from stridegraph.llm.common import Scratch, trimmed
 
 #: Production parameters: bounds of the samples, rounds of exchange, part of the pool that a view labels in a round, least certainty, and the score from which a document is kept.
 LABELLED, POOL, ROUNDS, SHARE, CERTAIN, KEEP = 3000, 3000, 4, 0.08, 0.95, 0.5
@@ -216,7 +216,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled:
                     cols += [pa.array([x.astype("<i4").tobytes() for x in np.split(keys & 0xFFFFFFFF, cut)], pa.binary()), pa.array([x.tobytes() for x in np.split(total, cut)], pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["id", "y", "a", "b", "c", "d"])
 
-    got = rows.mapInArrow(summed, "id long, y double, a binary, b binary, c binary, d binary").sort("id").toArrow()
+    got = rows.mapInArrow(lambda batches: trimmed(summed(batches)), "id long, y double, a binary, b binary, c binary, d binary").sort("id").toArrow()
     model = CoTrained()
     if not got.num_rows:
         return model
@@ -244,7 +244,7 @@ def scored(docs: DataFrame, model: CoTrained, keep: float = KEEP) -> DataFrame:
             s = _scores(model, b)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(s[:, i]) for i in range(3)), pa.array(s[:, 2] >= keep)], names=["doc_id", "text_score", "meta_score", "score", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", "lang", "source", "n_chars").mapInArrow(run, "doc_id long, text_score double, meta_score double, score double, kept boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text", "lang", "source", "n_chars").mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, text_score double, meta_score double, score double, kept boolean")
 
 
 def kept(docs: DataFrame, model: CoTrained, keep: float = KEEP) -> DataFrame:
@@ -254,4 +254,4 @@ def kept(docs: DataFrame, model: CoTrained, keep: float = KEEP) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(_scores(model, b)[:, 2] >= keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: trimmed(run(batches)), docs.schema)

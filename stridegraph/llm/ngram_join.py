@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stridegraph.llm.bytewords import mixed, word_hashes
-from stridegraph.llm.common import Scratch, components
+from stridegraph.llm.common import Scratch, components, trimmed
 
 #: Production parameters: words per shingle, least similarity (as a fraction), recall of pairs at that similarity, most hash functions, classes per side of a block.
 SHINGLE, NUMERATOR, DENOMINATOR, RECALL, HASHES, BLOCK = 5, 4, 5, 0.999, 144, 64
@@ -87,13 +87,13 @@ def signatures(texts: DataFrame, bands: int, rows: int, k: int = SHINGLE) -> Dat
     def run(batches):
         sign = Signer(bands, rows)
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
                 sets = shingle_sets([t or b"" for t in part.column(2).to_pylist()], k)
                 marks = [sign(x) if len(x) else [] for x in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(x) for x in sets], pa.int64()), pa.array(marks, pa.list_(pa.int64()))], names=["doc_id", "key", "n_grams", "bands"])
 
-    return texts.select(F.col("doc_id").cast("long"), copy_key(F.col("text")).alias("key"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, key string, n_grams long, bands array<bigint>")
+    return texts.select(F.col("doc_id").cast("long"), copy_key(F.col("text")).alias("key"), F.col("text").cast("binary")).mapInArrow(lambda batches: trimmed(run(batches)), "doc_id long, key string, n_grams long, bands array<bigint>")
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray] | None, numerator: int, denominator: int) -> np.ndarray:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stridegraph.llm.bytewords import SPACE, hashes, runs
-from stridegraph.llm.common import Scratch
+from stridegraph.llm.common import Scratch, trimmed
 
 #: Production parameters.
 SEQUENCE, END = 2048, 0
@@ -46,13 +46,12 @@ class Encoder:
     which gives the same ids sooner; anything else by the tokenizer itself.
     """
 
-    limit = 2_000_000
+    limit = 500_000
     _other = re.compile("[^\x00-\u024f]")
     _line = 198  # the id of a line feed by itself
 
     def __init__(self, path: str, ranks: str) -> None:
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.path, self.model = path, None
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.latin = tiktoken.Encoding("latin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
@@ -62,6 +61,9 @@ class Encoder:
         self.keys, self.at, self.size, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
 
     def plain(self, texts: list[str]) -> list[bytes]:
+        if self.model is None:  # large, and seldom needed
+            self.model = Tokenizer.from_file(self.path)
+            self.model.encode_special_tokens = True
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def one(self, text: str) -> np.ndarray:
@@ -160,16 +162,16 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS, si
         encode, end = encoder(*paths), np.array([END], "<u4").tobytes()
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for lo in range(0, len(ids), 1024):
+            for lo in range(0, len(ids), 400):
                 rows = []
-                for i, got in zip(ids[lo : lo + 1024], encode(texts[lo : lo + 1024])):
+                for i, got in zip(ids[lo : lo + 400], encode(texts[lo : lo + 400])):
                     got += end
                     for k, (s, n) in enumerate(cuts(len(got) // 4, size)):
                         rows.append((i, k, s, n, zlib.crc32(got[4 * s : 4 * (s + n)])))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda batches: trimmed(run(batches)), PIECES)
 
 
 class Packing:
