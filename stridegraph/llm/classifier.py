@@ -5,8 +5,11 @@ Two views of a document have a classifier each: the words of the text, and the p
 most certain, for the other to learn from. Both are then calibrated on labelled documents held
 apart, and their calibrated log odds are added (less the prior) to score every document.
 
-Fitting uses at most LABELLED labelled documents and a pool of at most POOL others, those with the
-least hashes of doc_id; all documents are scored, in one narrow pass. The model is of fixed size.
+Fitting uses at most LABELLED labelled documents, those with the least hashes of doc_id, and all
+others without their labels. The others are dealt by hash into blocks of about POOL documents; each
+block is co-trained with the labelled sample on an executor, and the blocks' weights are averaged, as
+exact sums. So the ranking by certainty is within a block, not over all. All documents are scored, in
+one narrow pass. The model is of fixed size.
 
 Null text: empty. Null lang or source: a value of its own. Labels that are null are ignored, and of
 a document's several labels the mean decides (a half counts as good). Without labels of both classes every document
@@ -25,11 +28,13 @@ from pyspark.sql import functions as F
 from stridegraph.llm.bytewords import SPACE, hashes, mixed, runs
 from stridegraph.llm.common import Scratch, trimmed
 
-#: Production parameters: bounds of the samples, rounds of exchange, part of the pool that a view labels in a round, least certainty, and the score from which a document is kept.
-LABELLED, POOL, ROUNDS, SHARE, CERTAIN, KEEP = 3000, 3000, 4, 0.08, 0.95, 0.5
+#: Production parameters: bound of the labelled sample, documents of a block, rounds of exchange, part of the pool that a view labels in a round, least certainty, and the score from which a document is kept.
+LABELLED, POOL, ROUNDS, SHARE, CERTAIN, KEEP = 4000, 4000, 4, 0.08, 0.95, 0.5
 TEXT_BITS, META_BITS = 17, 12
 #: Weight of a text's shares; logistic regression sees shares of words, which are small.
 SCALE = 20.0
+#: Steps of one in which weights are summed over blocks: whole numbers, so that the order of summing does not matter.
+UNIT = 2.0**32
 
 
 def layout(buf: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -93,6 +98,18 @@ def features(texts: list[str], langs: list, sources: list, sizes: list):
     return [tuple(np.concatenate(c) for c in zip(*view)) for view in (text, meta)]
 
 
+def summed(texts: list[str], langs: list, sources: list, sizes: list):
+    """As features(), in slices; each feature of a text once and in order, in narrow types."""
+    parts = [([], [], []), ([], [], [])]
+    for lo in range(0, len(texts), 200):
+        for out, (at, col, val) in zip(parts, features(*(c[lo : lo + 200] for c in (texts, langs, sources, sizes)))):
+            keys, back = np.unique(at.astype(np.int64) << 32 | col, return_inverse=True)
+            out[0].append(((keys >> 32) + lo).astype(np.int32))
+            out[1].append((keys & 0xFFFFFFFF).astype(np.int32))
+            out[2].append(np.bincount(back, val, len(keys)).astype(np.float32))
+    return [tuple(np.concatenate(c) for c in view) for view in parts]
+
+
 class Linear:
     """Logistic regression on sparse rows, fitted by AdaGrad over all rows."""
 
@@ -106,7 +123,7 @@ class Linear:
     def fit(self, view, n: int, y: np.ndarray, weight: np.ndarray, steps: int = 60, rate: float = 0.5, decay: float = 1e-4) -> None:
         rows, cols, vals = view
         on = weight[rows] > 0
-        rows, cols, vals = rows[on], cols[on], vals[on]
+        rows, cols, vals = rows[on].astype(np.int64), cols[on].astype(np.int64), vals[on].astype(float)
         self.w[:], self.b = 0, 0.0
         seen, seen_b, total = np.full(len(self.w), 1e-6), 1e-6, max(1e-9, weight.sum())
         for _ in range(steps):
@@ -143,6 +160,43 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return slope, float(v[1]) - slope * middle
 
 
+def exchanged(views, y: np.ndarray, labelled: np.ndarray, train: np.ndarray, first=None) -> list[Linear]:
+    """The two views' models after the rounds. first: what the labelled rows alone give, where that is known."""
+    n = len(y)
+    models = [Linear(TEXT_BITS), Linear(META_BITS)]
+    known = [np.where(train, y, 0.0) for _ in models]
+    weight = [train.astype(float) for _ in models]
+    free = [~labelled for _ in models]
+    good = float(y[train].mean())
+    for r in range(ROUNDS + 1):
+        for i, (m, v, k, w) in enumerate(zip(models, views, known, weight)):
+            if r == 0 and first:
+                m.w, m.b = first[i]
+            else:
+                m.w = np.zeros(len(m.w))
+                m.fit(v, n, k, w)
+        if r == ROUNDS or not (~labelled).any():
+            break
+        for i, m in enumerate(models):
+            p = 1 / (1 + np.exp(-np.clip(m.raw(views[i], n), -30, 30)))
+            other = 1 - i
+            quota = SHARE * (~labelled).sum()
+            for side, part in ((1.0, good), (0.0, 1 - good)):
+                sure = p if side else 1 - p
+                pick = np.flatnonzero(free[other] & (sure >= CERTAIN))
+                pick = pick[np.argsort(-sure[pick], kind="stable")][: int(np.ceil(quota * part))]
+                known[other][pick], weight[other][pick], free[other][pick] = side, 0.5, False
+    return models
+
+
+def parted(y: np.ndarray, labelled: np.ndarray, apart: np.ndarray):
+    """Rows that train and rows that calibrate: the same ones where either part lacks a class, None where all labels do."""
+    train, held = labelled & ~apart, labelled & apart
+    if any(len(np.unique(y[x])) < 2 for x in (train, held)):
+        return None if len(np.unique(y[labelled])) < 2 else (labelled, labelled)
+    return train, held
+
+
 class CoTrained:
     """Two calibrated views; .model is None without labels of both classes."""
 
@@ -150,34 +204,17 @@ class CoTrained:
         self.model = None
 
     def fit(self, views, y: np.ndarray, labelled: np.ndarray, apart: np.ndarray) -> "CoTrained":
-        """y: labels where labelled; apart: labelled rows that only calibrate."""
-        n = len(y)
-        train = labelled & ~apart
-        if any(len(np.unique(y[x])) < 2 for x in (train, labelled & apart)):
-            if len(np.unique(y[labelled])) < 2:
-                return self
-            train = apart = labelled
-        models = [Linear(TEXT_BITS), Linear(META_BITS)]
-        known = [np.where(train, y, 0.0) for _ in models]
-        weight = [train.astype(float) for _ in models]
-        free = [~labelled for _ in models]
-        good = float(y[train].mean())
-        for r in range(ROUNDS + 1):
-            for m, v, k, w in zip(models, views, known, weight):
-                m.fit(v, n, k, w)
-            if r == ROUNDS or not (~labelled).any():
-                break
-            for i, m in enumerate(models):
-                p = 1 / (1 + np.exp(-np.clip(m.raw(views[i], n), -30, 30)))
-                other = 1 - i
-                quota = SHARE * (~labelled).sum()
-                for side, part in ((1.0, good), (0.0, 1 - good)):
-                    sure = p if side else 1 - p
-                    pick = np.flatnonzero(free[other] & (sure >= CERTAIN))
-                    pick = pick[np.argsort(-sure[pick], kind="stable")][: int(np.ceil(quota * part))]
-                    known[other][pick], weight[other][pick], free[other][pick] = side, 0.5, False
-        on = labelled & apart
-        self.model = [(m.w, m.b, *platt(m.raw(v, n)[on], y[on])) for m, v in zip(models, views)]
+        """y: labels where labelled; apart: labelled rows that only calibrate. All rows are one block."""
+        parts = parted(y, labelled, apart)
+        if parts is None:
+            return self
+        return self.calibrated([(m.w, m.b) for m in exchanged(views, y, labelled, parts[0])], views, y, labelled, parts[1])
+
+    def calibrated(self, weights, views, y: np.ndarray, labelled: np.ndarray, held: np.ndarray) -> "CoTrained":
+        n, self.model = len(y), []
+        for (w, b), (rows, cols, vals) in zip(weights, views):
+            z = np.bincount(rows, w[cols] * vals, n) + b
+            self.model.append((w, b, *platt(z[held], y[held])))
         p = (y[labelled].sum() + 1) / (labelled.sum() + 2)
         self.prior = float(np.log(p / (1 - p)))
         return self
@@ -194,41 +231,74 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.stack([*odds, both], 1)))
 
 
+def learner(views, y: np.ndarray, train: np.ndarray, first):
+    """The function that co-trains a block of unlabelled rows with the labelled ones and returns its weights (view, feature, weight); feature -1 is the offset, view -1 counts blocks."""
+    n = len(y)
+
+    def learn(block: pa.Table) -> pa.Table:
+        block = block.sort_by([(c, "ascending") for c in ("doc_id", "text", "lang", "source", "n_chars")])
+        ids = block.column("doc_id").to_numpy()
+        block = block.take(pa.array(np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))))
+        own, k = summed(*(block.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars"))), block.num_rows
+        both = [tuple(np.concatenate(c) for c in ((a[0], b[0] + np.int32(n)), (a[1], b[1]), (a[2], b[2]))) for a, b in zip(views, own)]
+        none = np.zeros(k, bool)
+        models = exchanged(both, np.concatenate((y, np.zeros(k))), np.concatenate((np.ones(n, bool), none)), np.concatenate((train, none)), first)
+        out = [([-1], [0], [1])]
+        for i, m in enumerate(models):
+            at = np.flatnonzero(m.w)
+            out.append((np.full(len(at) + 1, i), np.append(at, -1), np.rint(np.append(m.w[at], m.b) * UNIT)))
+        return pa.table([pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*out), ("i4", "i4", "i8"))], names=["view", "feature", "weight"])
+
+    return lambda block: list(trimmed([learn(block)]))[0]
+
+
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
-    """Learns from samples of bounded size; only their rows reach the driver."""
+    """Learns from a labelled sample of bounded size, whose features reach the driver, and from all other documents in blocks on the executors."""
     scratch = Scratch(docs.sparkSession, "classifier")
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.avg(label).alias("y"))
     known = scratch.keep(known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(labelled))
-    rest = scratch.keep(docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(pool))
-    wanted = F.broadcast(known.join(rest, "doc_id", "full").select(F.col("doc_id").alias("_id"), "y"))  # at most labelled + pool rows
-    rows = docs.join(wanted, docs.doc_id == F.col("_id")).select("_id", "y", F.coalesce("text", F.lit("")).alias("text"), "lang", "source", "n_chars").dropDuplicates(["_id"])
+    known = F.broadcast(known.select(F.col("doc_id").alias("_id"), "y"))  # at most labelled rows
+    cols = [F.coalesce("text", F.lit("")).alias("text"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars")]
+    rows = docs.join(known, docs.doc_id == F.col("_id")).select("_id", "y", *cols).dropDuplicates(["_id"])
 
-    def summed(batches):
-        """Rows become their features, each named once, so that what travels is small."""
+    def made(batches):
+        """Rows become their features, so that what travels is small."""
         for b in batches:
             for lo in range(0, b.num_rows, 200):
-                part = b.slice(lo, 200)
-                n, cols = part.num_rows, []
-                for at, col, val in features(*(part.column(i).to_pylist() for i in range(2, 6))):
-                    keys, back = np.unique(at.astype(np.int64) << 32 | col, return_inverse=True)
-                    total = np.bincount(back, val, len(keys)).astype("<f4")
-                    cut = np.searchsorted(keys >> 32, np.arange(1, n))
-                    cols += [pa.array([x.astype("<i4").tobytes() for x in np.split(keys & 0xFFFFFFFF, cut)], pa.binary()), pa.array([x.tobytes() for x in np.split(total, cut)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["id", "y", "a", "b", "c", "d"])
-
-    got = rows.mapInArrow(lambda batches: trimmed(summed(batches)), "id long, y double, a binary, b binary, c binary, d binary").sort("id").toArrow()
+                part, out = b.slice(lo, 200), []
+                for at, col, val in summed(*(part.column(i).to_pylist() for i in range(2, 6))):
+                    cut = np.searchsorted(at, np.arange(1, part.num_rows))
+                    out += [pa.array([x.tobytes() for x in np.split(c, cut)], pa.binary()) for c in (col, val)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *out], names=["id", "y", "a", "b", "c", "d"])
+
+    got = rows.mapInArrow(lambda batches: trimmed(made(batches)), "id long, y double, a binary, b binary, c binary, d binary").sort("id").toArrow()
     model = CoTrained()
     if not got.num_rows:
         return model
-    y = np.array(got.column("y").to_pylist(), float)
-    on = ~np.isnan(y)
-    apart = np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in got.column("id").to_pylist()])
+    y = (np.array(got.column("y").to_pylist(), float) >= 0.5).astype(float)
+    on = np.ones(len(y), bool)
+    parts = parted(y, on, np.array([zlib.crc32(str(i).encode()) % 4 == 0 for i in got.column("id").to_pylist()]))
+    if parts is None:
+        return model
     views = []
-    for cols, vals in (("a", "b"), ("c", "d")):
-        parts = [np.frombuffer(x, "<i4") for x in got.column(cols).to_pylist()]
-        views.append((np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts]), np.concatenate(parts), np.frombuffer(b"".join(got.column(vals).to_pylist()), "<f4")))
-    del got, parts
-    return model.fit(views, np.where(on, (np.nan_to_num(y) >= 0.5).astype(float), 0.0), on, apart)
+    for c, v in (("a", "b"), ("c", "d")):
+        each = [np.frombuffer(x, "<i4") for x in got.column(c).to_pylist()]
+        views.append((np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each]), np.concatenate(each), np.frombuffer(b"".join(got.column(v).to_pylist()), "<f4")))
+    del got, each
+    weights = [(m.w, m.b) for m in exchanged(views, y, on, parts[0])]
+    rest = docs.where("doc_id is not null").join(known, docs.doc_id == F.col("_id"), "left_anti")
+    n = rest.count()
+    if n:
+        # a sum per feature is all that comes back, whatever the number of blocks
+        block = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(-(-n // pool))).alias("block")
+        learnt = rest.select(block, F.col("doc_id").cast("long").alias("doc_id"), *cols).groupBy("block").applyInArrow(learner(views, y, parts[0], weights), "view int, feature int, weight long")
+        view, at, total = (c.to_numpy() for c in learnt.groupBy("view", "feature").agg(F.sum("weight").alias("weight")).toArrow().columns)
+        blocks = total[view == -1][0]
+        for i, (w, _) in enumerate(weights):
+            mean = np.zeros(len(w))
+            mean[at[(view == i) & (at >= 0)]] = total[(view == i) & (at >= 0)] / UNIT / blocks
+            weights[i] = mean, float(total[(view == i) & (at < 0)][0] / UNIT / blocks)
+    return model.calibrated(weights, views, y, on, parts[1])
 
 
 def _scores(model: CoTrained, batch: pa.RecordBatch) -> np.ndarray:

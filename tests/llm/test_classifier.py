@@ -40,3 +40,14 @@ def test_odd_tables(spark):
     assert classifier.scored(docs, classifier.fitted(docs, some)).count() == 4
     empty = spark.createDataFrame([], schema)
     assert classifier.scored(empty, classifier.fitted(empty, some)).count() == 0
+
+
+def test_pseudo_labels_come_from_all_unlabelled_documents(spark):
+    pool, own = 100, range(1000, 1600)
+    text = lambda i: ("fine clear careful prose " if i % 2 else "buy cheap click now ") * 3 + f"marker{i}q{i * 7919}"
+    docs = spark.createDataFrame([(i, text(i), "en", "s" if i % 2 else "t", 60) for i in [*range(200), *own]], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    w = classifier.fitted(docs, labels, pool=pool).model[0][0]
+    feature = lambda word: int(classifier.hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0] >> np.uint64(64 - classifier.TEXT_BITS))
+    # only a document with a marker's word gives weight to it
+    assert sum(w[feature(text(i).split()[-1].encode())] != 0 for i in own) > pool
