@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stridegraph.functions import intervals as iv
+from stridegraph.sources.scratch import Scratch
 from stridegraph.functions.intervals import DIMS
 
 #: Interval ends per stretch of the line.
@@ -152,19 +153,30 @@ def _sweep(a: DataFrame, b: DataFrame, keep: Column, stretch: int, known) -> Dat
 
 
 def _cells(a: DataFrame, b: DataFrame, ls: list[int]) -> tuple[DataFrame, DataFrame]:
-    """Both sets cut into cells of a common grid."""
+    """Both sets cut into cells of a local grid: in each dimension, at the bounds of those that share a cell of the dimensions before.
+
+    Pieces meet bounds in buckets as wide as pieces are on average; no task holds a whole dimension.
+    """
     both = a.select("dims", F.lit(0).alias("side")).unionByName(b.select("dims", F.lit(1).alias("side")))
     n = len(ls)
     d = both
     for k, l in enumerate(ls):
         d = _classes(d, k, l)
-    d = d.drop("dims")
+    scratch = Scratch(a.sparkSession, "cells")
+    d = scratch.keep(d.drop("dims"))
+    widths = d.agg(*[F.ceil(F.avg(F.col(f"hi{k}") - F.col(f"lo{k}") + 1)) for k in range(n)]).first()
+    keys = []
     for k in range(n):
-        edges = d.select(F.col(f"r{k}"), F.explode(F.array(F.col(f"lo{k}"), F.col(f"hi{k}") + 1)).alias("g")).distinct()
-        edges = edges.withColumn("h", F.lead("g").over(W.partitionBy(f"r{k}").orderBy("g")) - 1).where("h is not null")
-        d = d.join(edges, f"r{k}").where((F.col("g") >= F.col(f"lo{k}")) & (F.col("h") <= F.col(f"hi{k}"))).drop(f"lo{k}", f"hi{k}").withColumnRenamed("g", f"lo{k}").withColumnRenamed("h", f"hi{k}")
-    cols = [f"{x}{k}" for k in range(n) for x in ("r", "lo", "hi")]
-    return d.where("side = 0").select(*cols).distinct(), d.where("side = 1").select(*cols).distinct()
+        width, lo, hi = F.lit(max(1, int(widths[k] or 1))).cast("bigint"), F.col(f"lo{k}"), F.col(f"hi{k}")
+        first = lambda x: x - F.pmod(x, width)  # noqa: B023, E731
+        keys.append(f"r{k}")
+        bounds = d.select(*keys, F.explode(F.array(lo, hi + 1)).alias("g")).distinct().withColumn("bucket", first(F.col("g")))
+        met = d.withColumn("bucket", F.explode(F.sequence(first(lo), first(hi), width))).join(bounds, [*keys, "bucket"]).where((F.col("g") >= lo) & (F.col("g") <= hi))
+        cut = met.groupBy(*d.columns).agg(F.array_sort(F.collect_set("g")).alias("g"))
+        cut = cut.withColumn("g", F.explode(F.transform("g", lambda g, i: F.struct(g.alias("lo"), (F.coalesce(F.get("g", i + 1), hi + 1) - 1).alias("hi")))))
+        d = scratch.keep(cut.withColumn(f"lo{k}", F.col("g.lo")).withColumn(f"hi{k}", F.col("g.hi")).drop("g"))
+        keys += [f"lo{k}", f"hi{k}"]
+    return d.where("side = 0").select(*keys).distinct(), d.where("side = 1").select(*keys).distinct()
 
 
 def _algebra(a: DataFrame, b: DataFrame, keep: Column, how: str, stretch: int) -> DataFrame:

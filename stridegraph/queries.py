@@ -140,6 +140,19 @@ def set_two_dimensional(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@query("""with s as (select s_suppkey as k from supplier), a as (select distinct x, y from s, range(12) u(i), range(8) v(j), lateral (select k * 2 + i * (1 + k % 2) as x, k % 7 + j as y) where i < 6),
+ b as (select distinct k + i as x, k % 5 + 2 * j as y from s, range(9) u(i), range(3) v(j))
+ select 'cap' as op, count(*) as n from (from a intersect from b) union all select 'cup', count(*) from (from a union from b) union all select 'diff', count(*) from (from a except from b)""")
+def set_two_dimensional_whole(spark, sf_dir):
+    """As set_two_dimensional, over all suppliers."""
+    k, one = F.col("s_suppkey"), F.lit(1)
+    s = t.read(spark, sf_dir, "supplier")
+    a = s.select(F.array(iv.interval(2 * k, 1 + k % 2, 2 * k + 5 * (1 + k % 2)), iv.interval(k % 7, one, k % 7 + 7)).alias("dims"))
+    b = s.select(F.array(iv.interval(k, one, k + 8), iv.interval(k % 5, F.lit(2), k % 5 + 4)).alias("dims"))
+    out = [sets.cardinal(f(a, b)).select(F.lit(n).alias("op"), F.col("card").alias("n")) for n, f in (("cap", sets.intersection), ("cup", sets.union), ("diff", sets.difference))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # linear expressions
 
 _L = "with c as (select c_custkey as k, 1 + c_custkey % 4 as a, 1 + c_custkey % 3 as b, c_custkey % 11 - 5 as p, 1 + c_custkey % 2 as q from customer), "

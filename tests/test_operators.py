@@ -6,6 +6,7 @@ from fractions import Fraction
 import pytest
 from pyspark.sql import functions as F
 
+from stridegraph import queries
 from stridegraph.functions import intervals as iv
 from stridegraph.functions import linear as ln
 from stridegraph.operators import maps, sets
@@ -55,6 +56,21 @@ def test_set_algebra_matches_sets(spark, n, stretch):
     assert sets.equal(a, sets.compacted(a)).first()[0] and sets.equal(a, b).first()[0] == (x == y)
 
 
+def test_cells_are_cut_by_their_neighbours_only(spark):
+    p = [[(10 * k, 1, 10 * k + 9), (k, 1, k + 300)] for k in range(60)]
+    a, b = sets._cells(sets.pieces(spark, p), sets.pieces(spark, p[:1]), [1, 1])
+    assert (a.count(), b.count()) == (60, 1)
+
+
+def test_two_dimensional_algebra_over_all_suppliers(spark, sf_dir):
+    sf = sf_dir.replace("0.001", "0.1")
+    keys = [r[0] for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").collect()]
+    a = {(2 * k + i * (1 + k % 2), k % 7 + j) for k in keys for i in range(6) for j in range(8)}
+    b = {(k + i, k % 5 + 2 * j) for k in keys for i in range(9) for j in range(3)}
+    assert len(keys) == 1000
+    assert dict(tuple(r) for r in queries.set_two_dimensional_whole(spark, sf).collect()) == {"cap": len(a & b), "cup": len(a | b), "diff": len(a - b)}
+
+
 def test_empty_sets(spark):
     none, some = sets.pieces(spark, [(5, 1, 4)]), sets.pieces(spark, [(1, 2, 9)])
     assert sets.cardinal(none).first()[0] == 0 and elements(sets.union(none, some)) == [(1,), (3,), (5,), (7,), (9,)]
