@@ -221,8 +221,10 @@ def found(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     brief = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
     d = df.select(*keep, F.array_sort(F.transform(F.filter("cands", lambda c: c["base"]), brief)).alias("base"), F.array_sort(F.transform(F.filter("cands", lambda c: ~c["base"] & (score(c) > 0)), brief)).alias("_more"))
     d = d.select(*keep, "base", F.filter("_more", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))).alias("_more"))
-    alone = F.filter("_more", lambda c, i: ~F.exists(F.slice("_more", F.greatest(i - 7, F.lit(1)), F.least(i, F.lit(8))), lambda b: (b["end"] > c["start"])))
-    return d.select(*keep, "base", F.array_sort(F.concat("base", alone)).alias("spans"))
+    # in order of start a candidate meets an accepted one just if it begins before the last accepted one's end
+    none = F.filter("_more", lambda c: F.lit(False))
+    alone = F.aggregate("_more", none, lambda a, c: F.when((F.size(a) > 0) & (F.element_at(a, F.greatest(F.size(a), F.lit(1)))["end"] > c["start"]), a).otherwise(F.concat(a, F.array(c))))
+    return d.select(*keep, "base", F.array_sort(F.concat("base", F.when(F.size("_more") > 1, alone).otherwise(F.col("_more")))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -244,8 +246,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     weights = model(scratch.keep(made.select("cands")))
     d = found(made, weights)
     # spans that meet are covered from the first one's start to the furthest end so far
-    reach = lambda i: F.array_max(F.transform(F.slice("spans", F.greatest(i - 15, F.lit(1)), F.least(i, F.lit(16))), lambda b: b["end"]))
-    d = d.select("*", F.transform("spans", lambda s, i: F.when(i > 0, reach(i)).otherwise(F.lit(0).cast("long"))).alias("_from"))
+    zero = F.array(F.lit(0).cast("long"))
+    d = d.select("*", F.aggregate("spans", zero, lambda a, s: F.concat(a, F.array(F.greatest(F.element_at(a, -1), s["end"].cast("long"))))).alias("_from"))
     name = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     part = lambda a, b: F.substr(F.col("text"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
     pieces = F.transform("spans", lambda s, i: F.concat(part(F.get("_from", i), s["start"]), F.when(s["end"] > F.get("_from", i), F.get(name, s["kind"])).otherwise(F.lit(""))))

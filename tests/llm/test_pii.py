@@ -88,3 +88,19 @@ def test_no_rows(spark):
 def test_votes_separate_reliable_from_not():
     p = pii.reliabilities({(0, "11111"): 90, (0, "00202"): 60, (0, "11212"): 30, (0, "02200"): 40})
     assert p[0, "11111"] > 0.9 > 0.1 > p[0, "00202"]
+
+
+def test_long_span_over_many_others_is_redacted_whole(spark, monkeypatch):
+    email = "_".join(["4111111111111111"] * 20) + "@example.com"
+    docs = spark.createDataFrame([(1, f"x {email} y", 0)], "doc_id long, text string, n_chars long")
+    assert len(base_spans(email)) > 17
+    monkeypatch.setattr(pii, "model", lambda cands: {})
+    assert pii.redacted(docs).first().text == "x <EMAIL> y"
+
+
+def test_candidates_give_way_to_accepted_ones_only(spark):
+    spans = [(0, 10), (5, 20), (15, 30), *((40 + i, 200 if i == 0 else 41 + i) for i in range(20)), (200, 210)]
+    cand = "struct<start:int,kind:int,end:int,base:boolean,features:array<string>>"
+    df = spark.createDataFrame([(1, [(a, 4, b, False, []) for a, b in spans])], f"doc_id long, cands array<{cand}>")
+    got = pii.found(df, {"k:4": 1.0}).first().spans
+    assert [(s.start, s.end) for s in got] == [(0, 10), (15, 30), (40, 200), (200, 210)]
