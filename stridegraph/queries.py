@@ -244,6 +244,15 @@ def map_inverse(spark, sf_dir):
     return maps.expand(maps.inverse(g)).select("x", "y")
 
 
+@query("select (1 + k % 2) * (k * 14 + 2 * i) + (1 - k % 2) * 14 * k as x, k * 14 + 2 * i as y from (select s_suppkey as k from supplier), range(7) t(i)")
+def map_inverse_whole(spark, sf_dir):
+    """Of all suppliers' pieces, of slopes 1 and 2, whose images begin at 28 k and do not meet."""
+    k = F.col("s_suppkey")
+    dims, exp = F.array(iv.interval(k * 14, F.lit(2), k * 14 + 12)), F.array(ln.linear(1 + k % 2, (1 - k % 2) * 14 * k))
+    g = t.read(spark, sf_dir, "supplier").select(F.lit(0).alias("map_id"), dims.alias("dims"), exp.alias("exp"))
+    return maps.expand(maps.inverse(g)).select("x", "y")
+
+
 @query(M + " select x, y from g")
 def map_compact(spark, sf_dir):
     return maps.expand(maps.compact(_pieces(spark, sf_dir)[1])).select("x", "y")

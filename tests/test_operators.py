@@ -71,6 +71,14 @@ def test_two_dimensional_algebra_over_all_suppliers(spark, sf_dir):
     assert dict(tuple(r) for r in queries.set_two_dimensional_whole(spark, sf).collect()) == {"cap": len(a & b), "cup": len(a | b), "diff": len(a - b)}
 
 
+def test_inverse_over_all_suppliers(spark, sf_dir):
+    sf = sf_dir.replace("0.001", "0.01")
+    keys = [r[0] for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").collect()]
+    want = sorted(((1 + k % 2) * x + (1 - k % 2) * 14 * k, x) for k in keys for x in range(14 * k, 14 * k + 13, 2))
+    assert len({y for y, _ in want}) == len(want) == 700
+    assert sorted(tuple(r) for r in queries.map_inverse_whole(spark, sf).collect()) == want
+
+
 def test_empty_sets(spark):
     none, some = sets.pieces(spark, [(5, 1, 4)]), sets.pieces(spark, [(1, 2, 9)])
     assert sets.cardinal(none).first()[0] == 0 and elements(sets.union(none, some)) == [(1,), (3,), (5,), (7,), (9,)]
