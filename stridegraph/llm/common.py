@@ -1,16 +1,15 @@
-"""What the operators of this subpackage share: tables, scratch tables, size-checked broadcasts, components."""
+"""What the operators of this subpackage share: tables, size-checked broadcasts, components."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stridegraph.sources.scratch import Scratch
+
 #: Fixed by the contracts: a word is a run of anything but these six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -23,60 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='stridegraph-')}")
-    return jsc.getCheckpointDir().get()
-
-
-_written: dict[str, SparkSession] = {}
-
-
-def _sweep() -> None:
-    for path, spark in list(_written.items()):
-        drop_path(spark, path)
-
-
-atexit.register(_sweep)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch table; a session that is gone leaves it to whoever clears the shared folder."""
-    _written.pop(path, None)
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    try:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception as e:  # noqa: BLE001  the JVM may have gone at exit
-        if "Connection refused" not in str(e) and "ConnectionRefused" not in type(e).__name__:
-            print(f"scratch table {path} stays: {e}")
-
-
-class Scratch:
-    """Tables written to the shared folder, so that lineage ends there and a lost executor costs no rerun of what is above.
-
-    A table stays until release() or the end of the process.
-    """
-
-    def __init__(self, spark: SparkSession, label: str) -> None:
-        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}", 0
-        _written[self.root] = spark
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def release(self) -> None:
-        drop_path(self.spark, self.root)
+def folded(docs: DataFrame, *more: Column) -> DataFrame:
+    """All columns of docs as one, row, beside further ones: so names of docs never meet an operator's own. select("row.*") gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

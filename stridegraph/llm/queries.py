@@ -19,7 +19,7 @@ def op3_best_fit_packing(spark, sf_dir):
 
 
 def op4_mix_sources(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("hash", "copies")
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
 def op5_suffix_dedup(spark, sf_dir):
@@ -48,4 +48,4 @@ def op10_fingerprints(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_best_fit_packing, op4_mix_sources, op5_suffix_dedup, op6_quality_classifier, op7_html_extract, op8_lm_scores, op9_pii, op10_fingerprints)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_mix_sources": mixing.MIX_SQL}

@@ -1,5 +1,5 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from stridegraph.llm import mixing
 
@@ -38,8 +38,21 @@ def test_mix_of_documents(spark, sf_dir):
     largest = max(n for n, _ in truth.values())
     assert all(abs(taken[s] - targets[s]) <= largest for s in sizes)
     assert sorted(map(str, mixing.mix(docs).collect())) == sorted(map(str, rows))
-    again = mixing.repeated(docs.withColumn("_n", docs.doc_id)).groupBy("doc_id").count().collect()
-    assert {r.doc_id: r["count"] for r in again} == {r.doc_id: r.copies for r in rows if r.copies}
+    own = ("key", "size", "hash", "tie", "copies", "below", "below_tie", "n", "row", "target")
+    again = mixing.repeated(docs.withColumns({c: docs.doc_id for c in own}))
+    assert again.columns == ["doc_id", "text", "source", *own]
+    again = again.collect()
+    assert all(r[c] == r.doc_id for r in again for c in own)
+    assert Counter(r.doc_id for r in again) == {r.doc_id: r.copies for r in rows if r.copies}
+    assert sorted(map(str, mixing.mix(docs.withColumns({c: docs.doc_id for c in own})).collect())) == sorted(map(str, rows))
+
+
+def test_a_source_of_copies_meets_its_target(spark):
+    rows = [(1, "a b c", "x")] * 40 + [(2, "a b", "y")] * 90 + [(i, "w " * i, "z") for i in range(10, 40)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for s, n in (("x", 3), ("y", 2)):
+        own = [r for r in got if r.size == n and r.doc_id == "_xy".index(s)]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= n and {r.taken for r in own} <= {0, n, 2 * n}
 
 
 def test_larger_budgets_take_supersets(spark, sf_dir):
@@ -49,4 +62,5 @@ def test_larger_budgets_take_supersets(spark, sf_dir):
 
 
 def test_no_rows(spark):
-    assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+    none = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert mixing.mix(none).count() == mixing.repeated(none).count() == 0
