@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,12 +13,15 @@ _written: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder, which only a local master can share."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the executors of {master} share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='stridegraph-')}")
     return jsc.getCheckpointDir().get()
 
