@@ -5,20 +5,25 @@ range. Fingerprints of any sizes can be merged (union) and give containment esti
 hashes kept of one set are a fixed subset of those kept of a larger one.
 
 Null text: empty. A text of one to four words is one shingle. An empty fingerprint is like another
-one only if the texts are equal (likeness 1, else 0). Documents with equal doc_id are ordered by
-text; a null doc_id comes last. A single document is its own next one.
+one only if the texts are equal (likeness 1, else 0). Documents with equal doc_id are ordered by a
+hash of the text, then the text; a null doc_id comes last. Repeated rows follow each other. A single
+document is its own next one. Very long texts: a task holds two of them, and a batch. An empty table
+gives an empty result. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stridegraph.llm.bytewords import mixed
 from stridegraph.llm.common import tasks_for
 
 #: Production parameters: words per shingle, and the part of all hashes that is kept.
@@ -38,13 +43,6 @@ class WordHashes(dict):
         return h
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective scramble of 64-bit words."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_hashes(words: list[bytes], memo: WordHashes, k: int = SHINGLE) -> np.ndarray:
     """Distinct hashes, ascending, of the k-word shingles; of all words if they are fewer."""
     if not words:
@@ -86,30 +84,80 @@ def edited(text: str, following: str) -> str:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def fingerprinted(docs: DataFrame, k: int = SHINGLE, fraction: float = FRACTION) -> DataFrame:
+#: Rows of a range.
+ROWS = 20_000
+
+
+def _key(doc_id: Column) -> Column:
+    """Ascending where doc_id descends; nulls last."""
+    return F.coalesce(F.bitwise_not(doc_id.cast("long")), F.lit(2**63 - 1))
+
+
+class Ranges:
+    """Ranges of rows in order of (key, mark); each begins with the last of the starts that is not above it."""
+
+    def __init__(self, starts: list[tuple[int, int]]) -> None:
+        self.keys, self.marks = (np.array(c, np.int64) for c in zip(*starts))
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def of(self, key: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of each row, and whether the row equals its start."""
+        low, high = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, "right")
+        while (on := low < high).any():  # among the starts of one key, by the mark
+            mid = (low + high) // 2
+            up = on & (self.marks[np.minimum(mid, len(self) - 1)] <= mark)
+            low, high = np.where(up, mid + 1, low), np.where(on & ~up, mid, high)
+        at = np.maximum(low - 1, 0)
+        return at, (self.keys[at] == key) & (self.marks[at] == mark)
+
+    def column(self):
+        """A function of (key, mark) to struct(part, first)."""
+
+        @F.pandas_udf("part int, first boolean")
+        def place(key: pd.Series, mark: pd.Series) -> pd.DataFrame:
+            at, first = self.of(key.to_numpy(), mark.to_numpy())
+            return pd.DataFrame({"part": at.astype(np.int32), "first": first})
+
+        return place
+
+
+def ranges(rows: DataFrame, size: int) -> Ranges:
+    """Of rows (key, mark): ranges that begin at a row each.
+
+    Cuts are quantiles of the keys; a key that covers several is cut evenly by its marks. Then the
+    least row of each range is found. A number or two per task reach the driver, as for any range partitioning.
+    """
+    n, least = rows.agg(F.count(F.lit(1)), F.min("key")).first()
+    parts = max(1, min(tasks_for(rows.sparkSession, n // size + 1), n))
+    cuts = rows.agg(F.percentile_approx("key", [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0] if parts > 1 else []
+    starts = {(least or 0, -(2**63))}
+    for k, times in Counter(cuts or []).items():
+        starts |= {(k, -(2**63) + (i * 2**64) // times) for i in range(times)}
+    rough = Ranges(sorted(starts))
+    at = rough.column()(F.col("key"), F.col("mark"))["part"]
+    heads = rows.groupBy(at.alias("part")).agg(F.min(F.struct("key", "mark")).alias("head")).select("head.*").collect()
+    return Ranges(sorted(tuple(r) for r in heads)) if heads else rough
+
+
+def fingerprinted(docs: DataFrame, k: int = SHINGLE, fraction: float = FRACTION, size: int = ROWS) -> DataFrame:
     """Each document's fingerprint beside that of its edited text and its likeness to that and to the next document.
 
     Rows are dealt to ranges of doc_id and sorted within; the first row of each range also goes to
     the range before it, so that no range needs another. Each task streams its rows in order and
     holds two of them.
     """
-    spark = docs.sparkSession
-    ids = docs.select("doc_id")
-    n, most = ids.agg(F.count(F.lit(1)), F.max("doc_id")).first()
-    parts = max(1, min(tasks_for(spark, n // 20_000 + 1), n))
-    cuts = []
-    if parts > 1 and most is not None:
-        cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
-    starts = sorted({most, *cuts} - {None}, reverse=True)  # as many numbers as there are partitions
-    # the range of a row: how many starts are at or above it, less one; the first rows of a range go to the one before, too
-    step = F.array(*[F.lit(s) for s in starts]) if starts else F.array().cast("array<bigint>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(max(0, len(starts) - 1))).otherwise(F.size(F.filter(step, lambda s: s >= F.col("doc_id"))) - 1)
-    first = F.array_contains(step, F.col("doc_id"))
-    here = F.struct(bucket.alias("part"), F.lit(False).alias("tail"))
-    there = F.struct(((bucket + len(starts) - 1) % max(1, len(starts))).cast("int").alias("part"), F.lit(True).alias("tail"))
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here))).alias("to"))
-    rows = rows.select(F.col("to.part").alias("part"), F.col("to.tail").alias("tail"), "doc_id", "text").repartitionById(max(1, len(starts)), "part")
-    rows = rows.sortWithinPartitions("part", "tail", F.col("doc_id").desc_nulls_last(), "text")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), _key(F.col("doc_id")).alias("key"), F.xxhash64(text).alias("mark"))
+    parts = ranges(made.select("key", "mark"), size)
+    at, n = F.col("at"), len(parts)
+    here = F.struct(at["part"].alias("part"), F.lit(False).alias("tail"))
+    there = F.struct(F.pmod(at["part"] - 1, F.lit(n)).cast("int").alias("part"), F.lit(True).alias("tail"))
+    rows = made.withColumn("at", parts.column()(F.col("key"), F.col("mark")))
+    rows = rows.withColumn("to", F.explode(F.when(at["first"], F.array(here, there)).otherwise(F.array(here))))
+    rows = rows.select("to.part", "to.tail", "doc_id", "text", "key", "mark").repartitionById(n, "part")
+    rows = rows.sortWithinPartitions("part", "tail", "key", "mark", "text").select("part", "tail", "doc_id", "text")
 
     def run(batches):
         memo = WordHashes()
@@ -137,7 +185,7 @@ def fingerprinted(docs: DataFrame, k: int = SHINGLE, fraction: float = FRACTION)
             for part, tail, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if part != place:
                     if held:
-                        emit(held, lead)  # a range without a first row after it: only if all ids are null
+                        emit(held, lead)
                     held, lead, place = None, None, part
                 row = [doc, text, None]
                 if held:

@@ -38,6 +38,16 @@ def test_nulls_ties_and_single_rows(spark):
     assert fp.fingerprinted(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_many_rows_of_one_document_are_split(spark):
+    rows = [(7, f"text {i % 40} of many") for i in range(200)] + [(None, f"none {i}") for i in range(50)] + [(i, "w " * i) for i in range(20, 60)]
+    extra = ("part", "tail", "key", "mark", "at", "to", "size")
+    docs = spark.createDataFrame([(d, t, *[t] * len(extra)) for d, t in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in extra))
+    whole, cut = (sorted(map(str, fp.fingerprinted(docs, size=n).collect())) for n in (10**6, 7))
+    assert whole == cut and len(cut) == len(rows)
+    parts = fp.ranges(docs.select(fp._key(docs.doc_id).alias("key"), fp.F.xxhash64("text").alias("mark")), 7)
+    assert sum(k == ~7 for k in parts.keys.tolist()) > 10 and sum(k == 2**63 - 1 for k in parts.keys.tolist()) > 2
+
+
 def test_containment_estimates_truth():
     memo, rng = fp.WordHashes(), np.random.default_rng(1)
     words = [str(x) for x in rng.integers(0, 10**9, 8000)]
