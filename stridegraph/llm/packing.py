@@ -1,19 +1,23 @@
 """Best-fit packing of documents into sequences by a grouping genetic algorithm.
 
-Texts become token ids (words are encoded once and remembered by their bytes). Pieces of at most
+Texts become token ids (words are encoded once and remembered by a 64-bit hash). Pieces of at most
 SEQUENCE tokens are dealt to shards of equal size by a hash. In every shard ISLANDS populations of
 whole packings evolve apart: crossover injects well-filled bins of one parent into the other,
 removes the bins that hold the same pieces, and best-fits the pieces that lost their bin. After
-each epoch every island gets the elite of its neighbour; at the end the best packing of a shard's
+each epoch every island keeps its ELITE best packings and gets the best of its neighbour; at the end the best packing of a shard's
 islands is used. A shard that reaches the lower bound stops at once.
 
-Null text: empty, one piece of the end id. Repeated rows are packed each by itself. A piece of a
-whole sequence has a bin to itself. An empty table gives an empty result.
+Null text: empty, one piece of the end id. Repeated rows, also of null doc_id, are packed each by
+itself; pieces of one size are alike to the search, which takes them in the order of their rows. A
+very long text is held by one task as text and ids; its whole pieces join no shard and have a
+sequence each. An empty table gives an empty result. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -29,29 +33,34 @@ from tokenizers import Tokenizer
 from stridegraph.llm.bytewords import SPACE, hashes, runs
 from stridegraph.llm.common import Scratch, trimmed
 
-#: Production parameters.
+#: Production parameters: ids of a sequence and the id that ends a document; pieces of a shard, islands, epochs, generations of an epoch, packings of an island, and how many of them an island keeps from epoch to epoch.
 SEQUENCE, END = 2048, 0
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
-SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 2, 2, 4, 5
+SHARD, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 4096, 2, 3, 16, 8, 3
 #: Part of the capacity from which a bin counts as well filled, part of those bins that crossover injects, and part of the bins that mutation empties.
 WELL, INJECTED, EMPTIED = 0.985, 0.3, 0.02
 
 
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes.
+    """Token ids as little-endian unsigned 32-bit bytes: those of the tokenizer as its file has it.
 
     A space between two other characters always begins a new unit of this vocabulary's splitting
-    rule, so units are encoded by themselves and remembered by hash. Texts in which white space
-    meets a space are encoded whole. Latin text is encoded from the same vocabulary's rank file,
-    which gives the same ids sooner; anything else by the tokenizer itself.
+    rule, so units are encoded by themselves and remembered by hash, new ones from the same
+    vocabulary's rank file, which gives the same ids sooner (a test holds it to that). The tokenizer
+    itself encodes, whole, texts in which white space meets a space, those with letters beyond Latin
+    and those that hold the string of an added token.
     """
 
     limit = 500_000
     _other = re.compile("[^\x00-\u024f]")
-    _line = 198  # the id of a line feed by itself
+    line = 198  # the id of a line feed by itself
 
     def __init__(self, path: str, ranks: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.path, self.model = path, None
+        with open(path, encoding="utf-8") as f:
+            head = f.read()
+        self.added = [t["content"].encode() for t in json.JSONDecoder().raw_decode(head, head.index("[", head.index('"added_tokens"')))[0]]
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.latin = tiktoken.Encoding("latin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
@@ -60,23 +69,21 @@ class Encoder:
     def forget(self) -> None:
         self.keys, self.at, self.size, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
 
-    def plain(self, texts: list[str]) -> list[bytes]:
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
         if self.model is None:  # large, and seldom needed
             self.model = Tokenizer.from_file(self.path)
-            self.model.encode_special_tokens = True
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def one(self, text: str) -> np.ndarray:
-        if self._other.search(text):
-            return np.frombuffer(self.plain([text])[0], "<u4")
-        return np.array(self.latin.encode_ordinary(text), "<u4")
+        """Of a text without added tokens."""
+        return self.plain([text])[0] if self._other.search(text) else np.array(self.latin.encode_ordinary(text), "<u4")
 
     def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         """Remembers the ids of new words, each with a space before it; those without line feeds are encoded as the lines of one text."""
         flat = [i for i, w in enumerate(words) if b"\n" not in w]
         bent = [i for i, w in enumerate(words) if b"\n" in w]
         ids = np.array(self.latin.encode_ordinary("\n".join([" " + words[i].decode() for i in flat])), "<u4")
-        line = ids == self._line
+        line = ids == self.line
         if line.sum() != max(0, len(flat) - 1):
             flat, bent, ids, line = [], list(range(len(words))), ids[:0], line[:0]
         sizes = np.diff(np.concatenate(([-1], np.flatnonzero(line), [len(ids)]))) - 1 if flat else np.empty(0, np.int64)
@@ -129,11 +136,14 @@ class Encoder:
         stops = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
         seen = np.concatenate(([0], np.cumsum(odd)))[np.minimum(stops, len(odd))]
         hard = np.diff(np.concatenate(([0], seen))) > 0
-        out = [self.one(t).tobytes() if h else b"" for t, h in zip(texts, hard.tolist())]
-        easy = np.flatnonzero(~hard).tolist()
+        hard |= np.array([any(a in r for a in self.added) for r in raw], bool)
+        out: list = [b""] * len(texts)
+        whole, easy = np.flatnonzero(hard).tolist(), np.flatnonzero(~hard).tolist()
+        for i, ids in zip(whole, self.plain([texts[i] for i in whole]) if whole else ()):
+            out[i] = ids.tobytes()
         if easy:
             for i, ids in zip(easy, self.units([raw[i] for i in easy])):
-                out[i] = np.array(self.latin.encode_ordinary(texts[i].split(" ", 1)[0]), "<u4").tobytes() + ids.tobytes()
+                out[i] = self.one(texts[i].split(" ", 1)[0]).tobytes() + ids.tobytes()
         return out
 
 
@@ -250,7 +260,9 @@ def evolve(sizes: np.ndarray, cap: int, seed: int, guests: list[np.ndarray], gen
     """One epoch of one island; the best packing is first. guests: packings from this island and its neighbour."""
     rng = np.random.default_rng(seed)
     least = bound(sizes, cap)
-    pool = [Packing(g, sizes, cap) for g in guests]
+    pool = sorted((Packing(g, sizes, cap) for g in guests), key=lambda p: p.worth, reverse=True)
+    if pool and -pool[0].worth[0] <= least:
+        return pool
     while len(pool) < population:
         pool.append(first_packing(sizes, cap, rng, 0.0 if not pool else 0.08 * len(pool)))
         if -pool[-1].worth[0] <= least:
@@ -272,7 +284,8 @@ def ordered(rows: pa.Table) -> pa.Table:
     return rows.sort_by([("length", "descending"), ("uid", "ascending")])
 
 
-STATE = "shard long, island int, bins long, filled double, at binary"
+STATE = "shard long, island int, bins long, filled double, at binary, rank int"
+NAMES, KINDS = [x.split()[0] for x in STATE.split(", ")], (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.int32())
 
 
 def packed(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS, size: int = SEQUENCE) -> DataFrame:
@@ -280,24 +293,25 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS, si
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
     made = scratch.keep(pieces(docs, vocabulary, ranks, size).withColumn("uid", F.monotonically_increasing_id()))
-    shards = max(1, round(made.where(F.col("length") < size).count() / SHARD))
-    made = made.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
-    open_ = made.where(F.col("length") < size).select("shard", "uid", "length", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"))
+    part = made.where(F.col("length") < size)
+    shards = max(1, round(part.count() / SHARD))
+    part = part.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)))
+    open_ = part.select("shard", "uid", "length", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])).alias("island"))
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({"shard": pa.array([], pa.int64()), "island": pa.array([], pa.int32()), "bins": pa.array([], pa.int64()), "filled": pa.array([], pa.float64()), "at": pa.array([], pa.binary())})
+            return pa.table([pa.array([], t) for t in KINDS], names=NAMES)
         shard, island = left.column("shard")[0].as_py(), left.column("island")[0].as_py()
         sizes = ordered(left).column("length").to_numpy()
         guests = [np.frombuffer(zlib.decompress(x), "<i4").astype(np.int64) for x in right.column("at").to_pylist()]
-        best = evolve(sizes, size, shard * 1009 + island * 31 + 7 * len(guests), guests)[0]
-        return pa.table({"shard": pa.array([shard], pa.int64()), "island": pa.array([island], pa.int32()), "bins": pa.array([len(best.load)], pa.int64()), "filled": pa.array([best.worth[1]], pa.float64()), "at": pa.array([zlib.compress(best.at.astype("<i4").tobytes(), 1)], pa.binary())})
+        best = evolve(sizes, size, shard * 1009 + island * 31 + 7 * len(guests), guests)[:ELITE]
+        cols = [shard] * len(best), [island] * len(best), [len(p.load) for p in best], [p.worth[1] for p in best], [zlib.compress(p.at.astype("<i4").tobytes(), 1) for p in best], range(len(best))
+        return pa.table([pa.array(c, t) for c, t in zip(cols, KINDS)], names=NAMES)
 
     state = spark.createDataFrame([], STATE)
     for epoch in range(EPOCHS):
-        if epoch:
-            moved = state.withColumn("island", ((F.col("island") + 1) % ISLANDS).cast("int"))
-            state = state.unionByName(moved)
+        if epoch:  # the elite of each island also goes to the next one
+            state = state.unionByName(state.where("rank = 0").withColumn("island", ((F.col("island") + 1) % ISLANDS).cast("int")))
         state = scratch.keep(open_.groupBy("shard", "island").cogroup(state.groupBy("shard", "island")).applyInArrow(step, STATE))
     best = state.groupBy("shard").agg(F.max_by("at", F.struct(-F.col("bins"), "filled", -F.col("island"))).alias("at"))
 
@@ -306,13 +320,7 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS, si
     def place(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = ordered(left)
         sizes = rows.column("length").to_numpy()
-        at = np.full(len(sizes), -1, np.int64)
-        whole = sizes >= size
-        bins = 0
-        if right.num_rows:
-            at[~whole] = np.frombuffer(zlib.decompress(right.column("at")[0].as_py()), "<i4")
-            bins = int(at.max()) + 1
-        at[whole] = np.arange(whole.sum()) + bins
+        at = np.frombuffer(zlib.decompress(right.column("at")[0].as_py()), "<i4").astype(np.int64)
         order = np.argsort(at, kind="stable")
         ends = np.cumsum(sizes[order])
         starts = ends - sizes[order]
@@ -323,4 +331,7 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, ranks: str = RANKS, si
         rows = rows.select([x.split()[0] for x in PIECES.split(", ")])
         return rows.append_column("sequence_id", pa.array(shard * 2**32 + at, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    return made.groupBy("shard").cogroup(best.groupBy("shard")).applyInArrow(place, out_schema)
+    placed = part.groupBy("shard").cogroup(best.groupBy("shard")).applyInArrow(place, out_schema)
+    # a whole piece has a sequence to itself, whose number is negative
+    whole = made.where(F.col("length") >= size).withColumns({"sequence_id": -1 - F.col("uid"), "offset": F.lit(0).cast("long")})
+    return placed.unionByName(whole.select(*placed.columns))
