@@ -13,18 +13,21 @@ _TABLE = np.random.default_rng(20).integers(1, 2**64, 256, np.uint64)
 #: Bytes of white space: fixed by the contracts.
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: A second hash, by another R and another table, for those to whom 64 bits are too few.
+_R2, _TABLE2 = 0xD1342543DE82EF95, np.random.default_rng(21).integers(1, 2**64, 256, np.uint64)
+_powers = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in range(2)]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """R**i and R**-i for i below n."""
-    if len(_powers[0]) < n:
-        n = max(n, 2 * len(_powers[0]))
-        for k, base in enumerate((_R, pow(_R, -1, 2**64))):
+    own = _powers[which]
+    if len(own[0]) < n:
+        n, r = max(n, 2 * len(own[0])), (_R, _R2)[which]
+        for k, base in enumerate((r, pow(r, -1, 2**64))):
             x = np.full(n, base, np.uint64)
             x[0] = 1
-            _powers[k] = np.cumprod(x)
-    return _powers[0], _powers[1]
+            own[k] = np.cumprod(x)
+    return own[0], own[1]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -40,10 +43,10 @@ def runs(apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def running(buf: np.ndarray) -> np.ndarray:
+def running(buf: np.ndarray, which: int = 0) -> np.ndarray:
     total = np.empty(len(buf) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_TABLE[buf] * powers(len(buf))[0][: len(buf)], out=total[1:])
+    np.cumsum((_TABLE, _TABLE2)[which][buf] * powers(len(buf), which)[0][: len(buf)], out=total[1:])
     return total
 
 

@@ -1,18 +1,19 @@
 """Language-model scores by deleted interpolation.
 
-The model mixes maximum-likelihood estimates of bigrams, unigrams and a uniform part; the weights
-depend on how often the context was seen (buckets by powers of two) and are learned by
-expectation-maximisation on the counts of held-out training documents, with counts of the others.
+The model mixes maximum-likelihood estimates: of trigrams with the model of two words, which mixes
+bigrams, unigrams and a uniform part. Weights depend on how often the context was seen (buckets by
+powers of two) and are learned by expectation-maximisation on the counts of held-out training
+documents, with counts of the others: first those of two words, then of three.
 
-Counting and looking up go by blocks of documents. A block sends its distinct n-grams (64-bit
-hashes, ascending, cut in ranges) with its counts, once; per range the blocks' counts are summed,
-and each block gets the totals in the order in which it asked. So a token never is a row, frequent
-words are summed before they move, and no task holds more than one range or one block. Nothing of
-the model is broadcast but its weights (16 x 3 numbers) and two sums.
+Counting and looking up go by blocks of documents and a tree of merges (merge_tree). So a token
+never is a row, frequent words are summed before they move, and no task holds more than one range
+or one block. Nothing of the model is broadcast but its weights (16 x 5 numbers) and two sums.
 
 Documents whose crc32(doc_id as text) mod 5 is 1 are not learned from (null doc_id: text "").
-Null or empty text: only the end token. Repeated rows count as often as they occur. With no
-documents to learn weights from, the weights are those of DEFAULT.
+Null or empty text: only the end token. Repeated rows count as often as they occur. Very long texts:
+a block has about BLOCK_BYTES of text, unless a single text has more, which a task then holds whole.
+With no documents to learn weights from, the weights are those of DEFAULT and DEFAULT3. An empty
+table gives an empty result. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -21,19 +22,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stridegraph.llm.common import Scratch, tasks_for
-from stridegraph.llm.fingerprints import WordHashes, mixed
+from stridegraph.llm.bytewords import mixed
+from stridegraph.llm.common import Scratch, trimmed
+from stridegraph.llm.fingerprints import WordHashes
+from stridegraph.llm.merge_tree import MESSAGE, Tree, in_blocks, in_key_order, table_of
 
 #: Production parameters: documents per block, buckets of context counts, one in so many training documents is held out for the weights.
-BLOCK, CONTEXTS, DELETED = 4096, 16, 10
-DEFAULT = (0.6, 0.3, 0.1)
+BLOCK, CONTEXTS, DELETED = 2048, 16, 10
+#: Weights where none can be learned: of bigrams, unigrams and the uniform part; of trigrams and the model of two words.
+DEFAULT, DEFAULT3 = (0.6, 0.3, 0.1), (0.5, 0.5)
 ROUNDS = 100
-_END, _START, _PAIR = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F), np.uint64(0x2545F4914F6CDD1D)
+_END, _START, _START2, _PAIR = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x6C62272E07BB0142, 0x2545F4914F6CDD1D))
 _LOW = -12.0  # least log10 of a frequency that has a bin of its own
 _STEP = 0.05
 
@@ -52,8 +54,8 @@ def is_deleted(doc_id) -> bool:
     return c % 5 != 1 and c // 5 % DELETED == 0
 
 
-def grams(texts: list[str | None], memo: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unigram and bigram hashes of all tokens of all texts, and the number of tokens of each text."""
+def grams(texts: list[str | None], memo: WordHashes) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of all tokens of all texts, as unigrams, bigrams and trigrams, and the number of tokens of each text."""
     parts, sizes = [], []
     for t in texts:
         w = (t or "").encode("utf-8", "replace").lower().split()
@@ -67,127 +69,70 @@ def grams(texts: list[str | None], memo: WordHashes) -> tuple[np.ndarray, np.nda
     if parts:
         uni[inner] = mixed(np.concatenate(parts))
     uni[ends] = _END
-    before = np.empty_like(uni)
-    before[1:] = uni[:-1]
-    before[ends - n + 1] = _START
-    return uni, mixed(before * _PAIR + uni), n
+    starts = ends - n + 1
+    out = [uni]
+    for first in (_START, _START2):  # what stands before a text
+        before = np.empty_like(uni)
+        before[1:] = out[-1][:-1]
+        before[starts] = first
+        out.append(mixed(before * _PAIR + uni))
+    return out, n
 
 
 def counted(hashes: np.ndarray, train: np.ndarray, deleted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes, ascending, with their counts in training documents and in the deleted ones among them."""
     keys, at = np.unique(hashes, return_inverse=True)
-    return keys, np.bincount(at, train, len(keys)).astype(np.int64), np.bincount(at, deleted, len(keys)).astype(np.int64)
+    return keys, np.bincount(at, train, len(keys)), np.bincount(at, deleted, len(keys))
 
 
-def pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x, "<u4").tobytes())
-
-
-def unpack(x: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), "<u4").astype(np.int64)
-
-
-def ranges(keys: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n equal ranges of the hash space begins in the ascending keys."""
-    edges = np.array([(i << 64) // n for i in range(n)], np.uint64)
-    return np.append(np.searchsorted(keys, edges), len(keys))
-
-
-ASKED = "range int, block string, uni binary, uni_n binary, uni_d binary, bi binary, bi_n binary, bi_d binary"
-TOLD = "range int, block string, uni_all binary, bi_all binary, uni_kept binary, bi_kept binary, n_all long, v_all long, n_kept long, v_kept long"
-
-
-def in_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """doc_id, text and block: neighbours in a file where the rows come from files, else dealt by hash."""
-    try:
-        block = F.concat_ws("#", F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / size).cast("string"))
-        got = docs.select(F.col("doc_id"), F.col("text"), block.alias("block"))
-        got.schema  # noqa: B018  fails without files
-        return got
-    except AnalysisException:
-        n = max(1, docs.count() // size)
-        return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("string").alias("block"))
-
-
-def ask(blocks: DataFrame, n_ranges: int) -> DataFrame:
-    """What each block asks and tells of each range; a block that two tasks read gets a row from both."""
+def asked(blocks: DataFrame, tree: Tree) -> DataFrame:
+    """Messages of each block; a block that two tasks read sends some from both."""
 
     def run(batches):
         memo = WordHashes()
 
         def tell(block, ids, texts):
-            uni, bi, n = grams(texts, memo)
+            hashes, n = grams(texts, memo)
             train = np.repeat([not is_held_out(i) for i in ids], n).astype(float)
             out = np.repeat([is_deleted(i) for i in ids], n).astype(float)
-            cols: list[list] = [[] for _ in range(8)]
-            sides = [(k, *rest, ranges(k, n_ranges)) for k, *rest in (counted(uni, train, out), counted(bi, train, out))]
-            for r in range(n_ranges):
-                row = [r, block]
-                for keys, all_n, del_n, at in sides:
-                    s = slice(at[r], at[r + 1])
-                    row += [keys[s].astype("<u8").tobytes(), pack(all_n[s]), pack(del_n[s])]
-                if row[2] or row[5]:
-                    for c, v in zip(cols, row):
-                        c.append(v)
-            names = [x.split()[0] for x in ASKED.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.string()] + [pa.binary()] * 6)], names=names)
+            for kind, h in enumerate(hashes):
+                yield table_of(tree.messages(kind, block, *counted(h, train, out)), MESSAGE)
 
         block, ids, texts = None, [], []
         for b in batches:
             for i, t, k in zip(*(b.column(j).to_pylist() for j in range(3))):
-                if k != block or len(ids) >= BLOCK:
+                if k != block:
                     if ids:
-                        yield tell(block, ids, texts)
+                        yield from tell(block, ids, texts)
                     block, ids, texts = k, [], []
                 ids.append(i)
                 texts.append(t)
         if ids:
-            yield tell(block, ids, texts)
-
-    return blocks.select("doc_id", "text", "block").mapInArrow(run, ASKED)
-
-
-def answer(rows: pa.Table) -> pa.Table:
-    """Sums one range over all blocks and answers each block in the order of its own distinct hashes."""
-    blocks = rows.column("block").to_pylist()
-    names = sorted(set(blocks))
-    told: dict[str, list] = {k: [] for k in names}
-    sums = []
-    for kind in ("uni", "bi"):
-        keys = [np.frombuffer(x, "<u8") for x in rows.column(kind).to_pylist()]
-        alls, dels = ([unpack(x) for x in rows.column(f"{kind}_{c}").to_pylist()] for c in "nd")
-        total, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n_all = np.bincount(at, np.concatenate(alls), len(total)).astype(np.int64)
-        n_kept = n_all - np.bincount(at, np.concatenate(dels), len(total)).astype(np.int64)
-        sums += [n_all.sum(), (n_all > 0).sum(), n_kept.sum(), (n_kept > 0).sum()]
-        place = np.cumsum([0] + [len(k) for k in keys])
-        for name in names:
-            own = [i for i, k in enumerate(blocks) if k == name]
-            where = np.concatenate([at[place[i] : place[i + 1]] for i in own])
-            left = np.concatenate([at[place[i] : place[i + 1]][dels[i] > 0] for i in own])
-            if len(own) > 1:
-                where, left = np.unique(where), np.unique(left)
-            told[name] += [pack(n_all[where]), pack(n_kept[left])]
-    first = names[0]
-    r = rows.column("range")[0].as_py()
-    cols = [[r] * len(names), names, *([told[k][i] for k in names] for i in (0, 2, 1, 3)), *([int(s) if k == first else 0 for k in names] for s in sums[:4])]
-    return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.string()] + [pa.binary()] * 4 + [pa.int64()] * 4)], names=[x.split()[0] for x in TOLD.split(", ")])
-
-
-def looked_up(hashes: np.ndarray, told: pa.Table, column: str) -> np.ndarray:
-    """The total of each hash; told has the totals of the distinct ones by range, in ascending order."""
-    order = np.argsort(told.column("range").to_numpy())
-    blobs = told.column(column).to_pylist()
-    totals = np.concatenate([unpack(blobs[i]) for i in order])
-    return totals[np.unique(hashes, return_inverse=True)[1]]
-
-
-def contexts(uni: np.ndarray, totals: np.ndarray, n: np.ndarray, docs: int) -> np.ndarray:
-    """How often the context of each token was seen: the word before it, or the start, which is seen once a document."""
-    before = np.empty_like(totals)
-    before[1:] = totals[:-1]
-    before[np.cumsum(n) - n] = docs
-    return before
+            yield from tell(block, ids, texts)
+
+    return blocks.select("doc_id", "text", "block").mapInArrow(lambda batches: trimmed(run(batches)), MESSAGE)
+
+
+def looked_up(hashes: list[np.ndarray], told: pa.Table, column: str) -> list[np.ndarray]:
+    """The total of each n-gram; told has those of the distinct ones, in ascending order."""
+    return [in_key_order(told, kind, column)[np.unique(h, return_inverse=True)[1]] for kind, h in enumerate(hashes)]
+
+
+def before(totals: np.ndarray, starts: np.ndarray, docs: int) -> np.ndarray:
+    """How often the context of each token was seen: what stands before it, or the start, which is seen once a document."""
+    out = np.empty_like(totals)
+    out[1:] = totals[:-1]
+    out[starts] = docs
+    return out
+
+
+def frequencies(counts: list[np.ndarray], n: np.ndarray, tokens: int):
+    """Maximum-likelihood estimates of each token by three, two and one words, and how often the contexts of the first two were seen."""
+    starts = np.cumsum(n) - n
+    docs = int(counts[0][starts[0] + n[0] - 1])  # each document ends once
+    c2, c3 = before(counts[0], starts, docs), before(counts[1], starts, docs)
+    share = lambda x, c: np.where(c > 0, x / np.maximum(c, 1), 0.0)
+    return share(counts[2], c3), share(counts[1], c2), counts[0] / max(1, tokens), c3, c2
 
 
 def bucket_of(c: np.ndarray) -> np.ndarray:
@@ -200,21 +145,25 @@ def bins(f: np.ndarray) -> np.ndarray:
         return np.where(f > 0, 1 + np.floor((np.maximum(np.log10(np.maximum(f, 1e-300)), _LOW) - _LOW) / _STEP), 0).astype(np.int64)
 
 
-def learned(counts: list[tuple[int, int, int, int]], uniform: float, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights (bigram, unigram, uniform) by bucket of context counts, from held-out tokens counted by bucket and bins of both frequencies."""
-    out = np.tile(np.array(DEFAULT), (CONTEXTS, 1))
+def learned(counts: list[tuple], floor: float | None, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights by bucket of context counts, from held-out tokens counted by bucket and bins of two estimates, by expectation-maximisation.
+
+    With a floor (the uniform part) there are three parts, else two.
+    """
+    parts = DEFAULT if floor is not None else DEFAULT3
+    out = np.tile(np.array(parts), (CONTEXTS, 1))
     middle = lambda i: np.where(i > 0, 10 ** (_LOW + (i - 0.5) * _STEP), 0.0)
     x = np.array(counts, np.int64).reshape(-1, 4)
     for b in range(CONTEXTS):
         own = x[x[:, 0] == b]
         if not len(own):
             continue
-        f = np.stack([middle(own[:, 1]), middle(own[:, 2]), np.full(len(own), uniform)], 1)
+        f = np.stack([middle(own[:, 1]), middle(own[:, 2])] + ([np.full(len(own), floor)] if floor is not None else []), 1)
         w = out[b]
         for _ in range(rounds):
             part = f * w
-            part *= (own[:, 3] / part.sum(1))[:, None]
-            new = (part.sum(0) + 1e-3) / (part.sum() + 3e-3)
+            part *= (own[:, 3] / np.maximum(part.sum(1), 1e-300))[:, None]
+            new = (part.sum(0) + 1e-3) / (part.sum() + 1e-3 * len(parts))
             if np.abs(new - w).max() < 1e-6:
                 break
             w = new
@@ -222,56 +171,68 @@ def learned(counts: list[tuple[int, int, int, int]], uniform: float, rounds: int
     return out
 
 
+def by_two(w: np.ndarray, f2: np.ndarray, f1: np.ndarray, uniform: float, c2: np.ndarray) -> np.ndarray:
+    """The bigram model: its own estimate, unigrams and the uniform part."""
+    w = w[bucket_of(c2)]
+    return w[:, 0] * f2 + w[:, 1] * f1 + w[:, 2] * uniform
+
+
+def by_three(w: np.ndarray, f3: np.ndarray, p2: np.ndarray, c3: np.ndarray) -> np.ndarray:
+    w = np.where((c3 > 0)[:, None], w[bucket_of(c3)], [[0.0, 1.0]])  # an unseen context leaves the bigram model
+    return w[:, 0] * f3 + w[:, 1] * p2
+
+
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+BINNED = "b int, i int, j int, n long"
 
 
-def scored(docs: DataFrame) -> DataFrame:
-    """Scores every document; reads the texts three times (counting, weights, scoring) and shuffles them once."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
-    blocks = in_blocks(docs)
-    n_ranges = tasks_for(spark, blocks.select("block").distinct().count() // 4)
-    told = scratch.keep(ask(blocks, n_ranges).groupBy("range").applyInArrow(answer, TOLD))
-    n_all, v_all, n_kept, v_kept = (int(x or 0) for x in told.agg(F.sum("n_all"), F.sum("v_all"), F.sum("n_kept"), F.sum("v_kept")).first())
+def scored(docs: DataFrame, rows: int = BLOCK, tree: Tree | None = None) -> DataFrame:
+    """Scores every document: reads the texts to count, a part of them to learn the weights of two and of three words, and again to score."""
+    scratch = Scratch(docs.sparkSession, "lm")
+    blocks = in_blocks(scratch, docs, rows)
+    tree = tree or Tree.over(blocks)
+    told = tree.totals(scratch, asked(blocks, tree))
+    n_all, v_all, n_kept, v_kept = tree.totals_of(0)
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     out = blocks.where((crc % 5 != 1) & (F.floor(crc / 5) % DELETED == 0))
 
-    def weigh(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = {}
-        if left.num_rows and right.num_rows:
-            uni, bi, n = grams(left.column("text").to_pylist(), WordHashes())
-            c1 = looked_up(uni, right, "uni_kept")
-            c2 = looked_up(bi, right, "bi_kept")
-            ends = c1[np.cumsum(n) - 1]
-            c = contexts(uni, c1, n, int(ends[0]))
-            f2, f1 = np.where(c > 0, c2 / np.maximum(c, 1), 0.0), c1 / max(1, n_kept)
-            code = (bucket_of(c) * 1000 + bins(f2)) * 1000 + bins(f1)
-            rows = dict(zip(*(x.tolist() for x in np.unique(code, return_counts=True))))
-        keys = list(rows)
-        return pa.table({"b": pa.array([k // 1_000_000 for k in keys], pa.int32()), "i": pa.array([k // 1000 % 1000 for k in keys], pa.int32()), "j": pa.array([k % 1000 for k in keys], pa.int32()), "n": pa.array(list(rows.values()), pa.int64())})
-
-    kept = told.select("block", "range", "uni_kept", "bi_kept")
-    pairs = out.select("block", "text").groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(weigh, "b int, i int, j int, n long")
-    table = [tuple(r) for r in pairs.groupBy("b", "i", "j").agg(F.sum("n")).collect()]  # at most CONTEXTS x 242 x 242 rows, whatever the input
-    weights = learned(table, 1.0 / (v_kept + 1))
+    def weigh(weights2):
+        """Held-out tokens by bucket and bins: of two words and one, or, with the weights of those, of three words and that model."""
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            code = np.empty(0, np.int64)
+            if left.num_rows and right.num_rows:
+                hashes, n = grams(left.column("text").to_pylist(), WordHashes())
+                f3, f2, f1, c3, c2 = frequencies(looked_up(hashes, right, "c"), n, n_kept)
+                if weights2 is None:
+                    code = (bucket_of(c2) * 1000 + bins(f2)) * 1000 + bins(f1)
+                else:
+                    seen = c3 > 0
+                    code = ((bucket_of(c3) * 1000 + bins(f3)) * 1000 + bins(by_two(weights2, f2, f1, 1.0 / (v_kept + 1), c2)))[seen]
+            keys, times = np.unique(code, return_counts=True)
+            return pa.table([pa.array(keys // 1_000_000, pa.int32()), pa.array(keys // 1000 % 1000, pa.int32()), pa.array(keys % 1000, pa.int32()), pa.array(times, pa.int64())], names=["b", "i", "j", "n"])
+
+        pairs = out.select("block", "text").groupBy("block").cogroup(told.select(F.col("child").alias("block"), "kind", "range", "c").groupBy("block")).applyInArrow(run, BINNED)
+        return [tuple(r) for r in pairs.groupBy("b", "i", "j").agg(F.sum("n")).collect()]  # at most CONTEXTS x 242 x 242 rows, whatever the input
+
+    weights2 = learned(weigh(None), 1.0 / (v_kept + 1))
+    weights3 = learned(weigh(weights2), None)
     floor = n_all + 0.5 * (v_all + 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("doc_id").to_pylist()
         if ids:
-            uni, bi, n = grams(left.column("text").to_pylist(), WordHashes())
-            c1 = looked_up(uni, right, "uni_all")
-            c2 = looked_up(bi, right, "bi_all")
-            starts = np.cumsum(n) - n
-            c = contexts(uni, c1, n, int(c1[starts[0] + n[0] - 1]))
-            w = weights[bucket_of(c)]
-            p = w[:, 0] * np.where(c > 0, c2 / np.maximum(c, 1), 0.0) + w[:, 1] * (c1 / max(1, n_all)) + w[:, 2] / (v_all + 1)
-            add = lambda x: np.add.reduceat(x, starts)
-            known, base, total = add((c1 > 0).astype(np.int64)), add(np.log10((c1 + 0.5) / floor)), add(np.log10(p))
+            hashes, n = grams(left.column("text").to_pylist(), WordHashes())
+            counts = looked_up(hashes, right, "a")
+            del hashes
+            f3, f2, f1, c3, c2 = frequencies(counts, n, n_all)
+            p = by_three(weights3, f3, by_two(weights2, f2, f1, 1.0 / (v_all + 1), c2), c3)
+            add = lambda x: np.add.reduceat(x, np.cumsum(n) - n)
+            known, base, total = add((counts[0] > 0).astype(np.int64)), add(np.log10((counts[0] + 0.5) / floor)), add(np.log10(p))
         else:
             n = known = np.empty(0, np.int64)
             base = total = np.empty(0)
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "held_out": pa.array(map(is_held_out, ids), pa.bool_()), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([n_all] * len(ids), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64())})
 
-    known = told.select("block", "range", "uni_all", "bi_all")
-    return blocks.select(F.col("doc_id").cast("long"), "block", "text").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, SCORED)
+    known = told.select(F.col("child").alias("block"), "kind", "range", "a")
+    return blocks.select(F.col("doc_id").cast("long"), "block", "text").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lambda l, r: list(trimmed([score(l, r)]))[0], SCORED)

@@ -5,19 +5,20 @@ stands. A window is named by its anchor, the least hash among its GRAM-byte stri
 have equal anchors. Neighbouring windows with one anchor form a context. Three passes over blocks
 of documents:
 
-1. Blocks count their contexts by anchor; ranges of anchors add the counts up over all blocks. An
+1. Blocks count their contexts by anchor, and a tree of merges (merge_tree) adds the counts up. An
    anchor of one context that holds it once has no repeated window.
-2. Blocks send the bytes of each distinct context whose anchor repeats to the anchor's range. There the
-   contexts of whole anchors are joined to shards of bounded size, whose suffix array is made by
-   induced sorting; neighbours in it with a common prefix of WINDOW bytes mark repeated windows.
-   For an anchor with more than HOT contexts that differ (beside a passage that very many documents
-   share), blocks send the hashes of the windows themselves, each distinct one once; these are
-   spread over all ranges and counted, so that no range gathers such an anchor.
+2. Blocks send each distinct context whose anchor repeats, as a row. These are dealt by anchor and
+   sorted; the contexts of whole anchors are joined to shards of bounded size, whose suffix array is
+   made; neighbours in it with a common prefix of WINDOW bytes mark repeated windows. An anchor with
+   more than HOT contexts (beside a passage that very many documents share) would be an unbounded
+   shard; blocks send two 64-bit hashes of each of its windows to the tree, which counts them.
 3. Blocks get the marks of their contexts and windows and remove what these cover.
 
-Nothing is broadcast; a task holds a block, or a range. Counts are 0, 1 or more, so copies are
-summed up within blocks. Null or empty text: nothing to remove. Texts of any length are cut in
-segments that overlap by a window. Repeated rows are copies of each other, so windows in them repeat.
+Nothing is broadcast; a task holds a block, a shard or a range. Contexts are equal if their bytes are;
+windows at hot anchors if both hashes are. Null or empty text: nothing to remove. Texts of any length
+are cut in segments that overlap by a window; a block has about BLOCK_BYTES, unless one text has more.
+Repeated rows, also of one or null doc_id, are copies of each other, so windows in them repeat. An
+empty table gives an empty result. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -26,25 +27,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridegraph.llm.bytewords import mixed, powers, running
-from stridegraph.llm.common import Scratch, tasks_for
-from stridegraph.llm.lm import in_blocks, ranges
+from stridegraph.llm.common import Scratch, trimmed
+from stridegraph.llm.merge_tree import MESSAGE, Tree, in_blocks, in_key_order, table_of
 from stridegraph.llm.suffix_array import common_prefixes, suffix_array
 
-#: Production parameters: bytes of a repeated string, of an anchor, distinct contexts from which an anchor is hot, bytes of a segment, bytes of a shard, documents of a block.
-WINDOW, GRAM, HOT, SEGMENT, SHARD, BLOCK = 200, 64, 256, 1 << 19, 1 << 18, 4096
-
-
-def pack(x: np.ndarray, kind: str) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x, kind).tobytes())
-
-
-def unpack(x: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+#: Production parameters: bytes of a repeated string, of an anchor, contexts (distinct within a block) from which an anchor is hot, bytes of a segment, bytes of a shard, documents of a block.
+WINDOW, GRAM, HOT, SEGMENT, SHARD, BLOCK = 200, 64, 1024, 1 << 19, 1 << 18, 4096
 
 
 def sliding(x: np.ndarray, w: int, op) -> np.ndarray:
@@ -109,68 +102,34 @@ class Contexts:
         whole = mixed((total[last] - total[begin]) * inverse[begin] + n.astype(np.uint64))
         return begin + at, n, mixed(own), whole, twice  # least hashes are all small; scrambled, they spread over the ranges
 
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of all windows of some contexts, given in ascending order."""
+    def windows(self, which: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Places and both hashes of all windows of some contexts, given in ascending order."""
         n = self.n[which]
         places = np.repeat(self.place[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        out = np.empty(len(places), np.uint64)
+        out = [np.empty(len(places), np.uint64) for _ in range(2)]
         lo = 0
         while lo < len(places):  # by stretches of the text, so that the running sums stay small
             hi = int(np.searchsorted(places, places[lo] + SEGMENT))
             a, b = int(places[lo]), int(places[hi - 1]) + self.window
-            total, inverse = running(self.buf[a:b]), powers(b - a + 1)[1]
             p = places[lo:hi] - a
-            out[lo:hi] = mixed((total[p + self.window] - total[p]) * inverse[p])
+            for k in range(2):
+                total, inverse = running(self.buf[a:b], k), powers(b - a + 1, k)[1]
+                out[k][lo:hi] = mixed((total[p + self.window] - total[p]) * inverse[p])
             lo = hi
         return places, out
 
 
-def first_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values, ascending, the first place of each and how often it occurs."""
-    return np.unique(x, return_index=True, return_counts=True)
-
-
-COUNTED = "range int, block string, anchor binary, n binary, repeats binary"
-CODED = "range int, block string, code binary"
-SENT = "range int, block string, anchor binary, width binary, many binary, data binary, win binary, win_many binary"
-MARKED = "range int, block string, runs binary, starts binary, lengths binary, win binary"
-
-
-def _batch(cols, spec: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "long": pa.int64()}
-    fields = [x.split() for x in spec.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)], names=[n for n, _ in fields])
-
-
 def _anchors(c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct anchors with the number of their contexts that differ, and whether one repeats within these texts."""
     order = np.lexsort((c.hash, c.anchor))
     anchor, whole, twice = c.anchor[order], c.hash[order], c.twice[order]
-    keys, at, n = first_of(anchor)
+    keys, at, n = np.unique(anchor, return_index=True, return_counts=True)
     fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])][: len(anchor)]
     if not len(keys):
         return keys, n, np.empty(0, bool)
     return keys, np.add.reduceat(fresh.astype(np.int64), at), (n > 1) | np.logical_or.reduceat(twice, at)
 
 
-def _count(rows: pa.Table, hot: int) -> pa.Table:
-    """One range: what is known of each anchor (0: no repeat, 1: repeats, 2: hot), for each block in the order of its own. A block that two tasks read has two rows."""
-    blocks = rows.column("block").to_pylist()
-    keys = [np.frombuffer(x, "<u8") for x in rows.column("anchor").to_pylist()]
-    total, at = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.bincount(at, np.concatenate([unpack(x, "<u4") for x in rows.column("n").to_pylist()]), len(total))
-    repeats = np.bincount(at, np.concatenate([unpack(x, "u1") for x in rows.column("repeats").to_pylist()]), len(total)) > 0
-    code = np.where(n > hot, 2, ((np.bincount(at, minlength=len(total)) > 1) | repeats).astype(int)).astype(np.uint8)
-    stops = np.cumsum([0] + [len(k) for k in keys])
-    own: dict[str, list[np.ndarray]] = {}
-    for block, x, y in zip(blocks, stops, stops[1:]):
-        own.setdefault(block, []).append(at[x:y])
-    names = list(own)
-    codes = [code[own[k][0] if len(own[k]) == 1 else np.unique(np.concatenate(own[k]))] for k in names]
-    r = rows.column("range")[0].as_py()
-    return pa.Table.from_batches([_batch(([r] * len(names), names, [pack(x, "u1") for x in codes]), CODED)])
-
-
 def repeated_windows(contexts: list[bytes], window: int) -> list[np.ndarray]:
     """Per context, for each window in it, whether it starts at another place of these contexts, too; by one suffix array."""
     data = b"".join(contexts)
@@ -187,70 +146,68 @@ def repeated_windows(contexts: list[bytes], window: int) -> list[np.ndarray]:
     return [out[b - s : b - window + 1] for s, b in zip(sizes.tolist(), stops.tolist())]
 
 
-def _mark(rows: pa.Table, window: int, shard: int) -> pa.Table:
-    """One range: marks of contexts by suffix arrays of shards, and of windows by counting."""
-    blocks = rows.column("block").to_pylist()
+#: What blocks send: messages of hot windows (kinds 1 and 2, a hash each) and contexts (kind 3).
+SENT = MESSAGE + ", anchor long, number int, many boolean, data binary"
+MARKED = "block string, number int, starts array<int>, lengths array<int>"
+
+
+def _shard(rows: list[tuple], window: int) -> list[tuple]:
+    """Marks of the contexts (block, number, many, data) of some whole anchors."""
     seen: dict[bytes, int] = {}
-    many: list[int] = []
-    anchors: list[int] = []
-    asked = []
-    for a, w, m, d in zip(*(rows.column(x).to_pylist() for x in ("anchor", "width", "many", "data"))):
-        own, data, at = [], zstandard.ZstdDecompressor().decompress(d), 0
-        for anchor, width, more in zip(np.frombuffer(a, "<u8").tolist(), unpack(w, "<u4").tolist(), unpack(m, "u1").tolist()):
-            i = seen.setdefault(data[at : at + width], len(many))
-            at += width
-            if i == len(many):
-                many.append(more)
-                anchors.append(anchor)
-            else:
-                many[i] = 1
-            own.append(i)
-        asked.append(own)
-    texts = list(seen)
-    marks: list[np.ndarray] = [None] * len(texts)
-    order = np.argsort(np.array(anchors, np.uint64), kind="stable").tolist()
-    lo = 0
-    while lo < len(order):  # whole anchors, up to the size of a shard
-        hi, size = lo, 0
-        while hi < len(order) and (size < shard or anchors[order[hi]] == anchors[order[hi - 1]]):
-            size += len(texts[order[hi]])
-            hi += 1
-        for i, m in zip(order[lo:hi], repeated_windows([texts[i] for i in order[lo:hi]], window)):
-            marks[i] = np.ones(len(m), bool) if many[i] else m
-        lo = hi
-    wins = [np.frombuffer(x, "<u8") for x in rows.column("win").to_pylist()]
-    total, at = np.unique(np.concatenate(wins), return_inverse=True)
-    more = (np.bincount(at, minlength=len(total)) > 1) | (np.bincount(at, np.concatenate([unpack(x, "u1") for x in rows.column("win_many").to_pylist()]), len(total)) > 0)
-    stops = np.cumsum([0] + [len(k) for k in wins])
-    cols: list[list] = [[], [], [], [], [], []]
-    r = rows.column("range")[0].as_py()
-    for k, (block, own) in enumerate(zip(blocks, asked)):
-        edges = [np.flatnonzero(np.diff(np.r_[False, marks[i], False].view(np.int8))) for i in own]
-        flat = np.concatenate(edges) if edges else np.empty(0, np.int64)
-        runs = np.fromiter((len(e) // 2 for e in edges), np.int64, len(edges))
-        row = (r, block, pack(runs, "<u4"), pack(flat[::2], "<u4"), pack(flat[1::2] - flat[::2], "<u4"), pack(more[at[stops[k] : stops[k + 1]]], "u1"))
-        for c, v in zip(cols, row):
-            c.append(v)
-    return pa.Table.from_batches([_batch(cols, MARKED)])
-
-
-def _in_order(told: pa.Table) -> list[int]:
-    return np.argsort(told.column("range").to_numpy(), kind="stable").tolist()
-
-
-def _codes(c: Contexts, told: pa.Table) -> np.ndarray:
-    """The code of each context's anchor."""
-    keys, at = np.unique(c.anchor, return_inverse=True)
-    blobs = told.column("code").to_pylist()
-    code = np.concatenate([unpack(blobs[i], "u1") for i in _in_order(told) if blobs[i] is not None] or [np.empty(0, np.uint8)])
-    return code[at] if len(keys) else code
+    many: list[bool] = []
+    own = []
+    for _, _, more, data in rows:
+        i = seen.setdefault(data, len(many))
+        if i == len(many):
+            many.append(more)
+        else:
+            many[i] = True
+        own.append(i)
+    marks = []
+    for more, m in zip(many, repeated_windows(list(seen), window)):
+        edges = np.array([0, len(m)]) if more else np.flatnonzero(np.diff(np.r_[False, m, False].view(np.int8)))
+        marks.append((edges[::2], edges[1::2] - edges[::2]))
+    return [(block, number, *marks[i]) for (block, number, _, _), i in zip(rows, own) if len(marks[i][0])]
+
+
+def _marks(batches, window: int, shard: int):
+    """Of rows (anchor, block, number, many, data) in order of anchor: whole anchors, joined up to the size of a shard."""
+
+    def made(rows):
+        got = list(zip(*_shard(rows, window))) or [()] * 4
+        lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in c]), pa.int32()), pa.array(np.concatenate([*c, np.empty(0, np.int32)]).astype(np.int32))) for c in got[2:]]
+        return pa.RecordBatch.from_arrays([pa.array(got[0], pa.string()), pa.array(got[1], pa.int32()), *lists], names=["block", "number", "starts", "lengths"])
+
+    rows, size, last = [], 0, None
+    for b in batches:
+        for anchor, *row in zip(*(b.column(i).to_pylist() for i in range(5))):
+            if rows and size >= shard and anchor != last:
+                yield made(rows)
+                rows, size = [], 0
+            rows.append(tuple(row))
+            size, last = size + len(row[3]), anchor
+    if rows:
+        yield made(rows)
+
+
+def _codes(c: Contexts, told: pa.Table, hot: int) -> np.ndarray:
+    """Of each context's anchor: 0 does not repeat, 1 repeats, 2 is hot."""
+    keys, _, repeats = _anchors(c)
+    if not len(keys):
+        return np.empty(0, np.int64)
+    n = in_key_order(told, 0, "a")
+    return np.where(n > hot, 2, (n > 1) | repeats)[np.searchsorted(keys, c.anchor)]
 
 
 def _sent(c: Contexts, code: np.ndarray):
-    """Distinct contexts to send, in order of anchor: their first places, how often they occur, and for each context its number among them."""
+    """Distinct contexts to send: their places in c, how often they occur; and all contexts of which they are, with the number of each among the distinct ones."""
     which = np.flatnonzero(code == 1)
     order = which[np.lexsort((c.hash[which], c.anchor[which]))]
     fresh = np.r_[True, (c.anchor[order][1:] != c.anchor[order][:-1]) | (c.hash[order][1:] != c.hash[order][:-1])][: len(order)]
+    place, stop = c.place[order], c.place[order] + c.n[order] + c.window - 1
+    for i in np.flatnonzero(~fresh).tolist():  # equal hashes count only with equal bytes
+        if c.data[place[i] : stop[i]] != c.data[place[i - 1] : stop[i - 1]]:
+            fresh[i] = True
     number = np.cumsum(fresh) - 1
     return order[fresh], np.bincount(number, minlength=0), order, number
 
@@ -258,21 +215,17 @@ def _sent(c: Contexts, code: np.ndarray):
 DONE = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard: int = SHARD, with_bytes: bool = False, segment: int = SEGMENT) -> DataFrame:
+def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard: int = SHARD, with_bytes: bool = False, segment: int = SEGMENT, rows: int = BLOCK, tree: Tree | None = None) -> DataFrame:
     """Per document the digest of what is left; with_bytes adds the bytes that are left as kept."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "suffixes")
-    blocks = in_blocks(docs, BLOCK).select(F.col("doc_id").cast("long"), "block", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    n_ranges = tasks_for(spark, blocks.select("block").distinct().count() // 4)
+    scratch = Scratch(docs.sparkSession, "suffixes")
+    blocks = in_blocks(scratch, docs, rows).select(F.col("doc_id").cast("long"), "block", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    tree = tree or Tree.over(blocks)
     make = lambda texts: Contexts(texts, window, gram, segment)
 
     def counted(batches):
         def tell(block, texts):
             keys, n, repeats = _anchors(make(texts))
-            at = ranges(keys, n_ranges)
-            on = [r for r in range(n_ranges) if at[r + 1] > at[r]]
-            s = [slice(at[r], at[r + 1]) for r in on]
-            return _batch((on, [block] * len(on), [keys[x].astype("<u8").tobytes() for x in s], [pack(n[x], "<u4") for x in s], [pack(repeats[x], "u1") for x in s]), COUNTED)
+            return table_of(tree.messages(0, block, keys, n, repeats), MESSAGE)
 
         block, texts = None, []
         for b in batches:
@@ -285,32 +238,32 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
         if texts:
             yield tell(block, texts)
 
-    parts = blocks.select("block", "text").mapInArrow(counted, COUNTED)
-    told = scratch.keep(parts.groupBy("range").applyInArrow(lambda t: _count(t, hot), CODED))
+    told = tree.totals(scratch, blocks.select("block", "text").mapInArrow(lambda batches: trimmed(counted(batches)), MESSAGE))
+    told = told.select(F.col("child").alias("block"), "kind", "range", "a")
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        cols: list[list] = [[] for _ in range(8)]
+        out = []
         if left.num_rows and right.num_rows:
             block = left.column("block")[0].as_py()
             c = make(sorted(left.column("text").to_pylist()))
-            code = _codes(c, right)
+            code = _codes(c, right, hot)
+            for k, hashes in enumerate(c.windows(np.flatnonzero(code == 2))[1]):
+                keys, n = np.unique(hashes, return_counts=True)
+                out += [(*m, None, None, None, None) for m in tree.messages(1 + k, block, keys, n, np.zeros(len(n)))]
             lead, times, _, _ = _sent(c, code)
-            wins, _, n = first_of(c.windows(np.flatnonzero(code == 2))[1])
-            at, wat = ranges(c.anchor[lead], n_ranges), ranges(wins, n_ranges)
-            for r in range(n_ranges):
-                x, y = slice(at[r], at[r + 1]), slice(wat[r], wat[r + 1])
-                if x.start == x.stop and y.start == y.stop:
-                    continue
-                width = c.n[lead[x]] + window - 1
-                data = b"".join([c.data[p : p + w] for p, w in zip(c.place[lead[x]].tolist(), width.tolist())])
-                row = (r, block, c.anchor[lead[x]].astype("<u8").tobytes(), pack(width, "<u4"), pack(times[x] > 1, "u1"), zstandard.ZstdCompressor(level=1).compress(data), wins[y].astype("<u8").tobytes(), pack(n[y] > 1, "u1"))
-                for k, v in zip(cols, row):
-                    k.append(v)
-        return pa.Table.from_batches([_batch(cols, SENT)])
-
-    asked = blocks.select("block", "text").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send, SENT)
-    marks = scratch.keep(asked.groupBy("range").applyInArrow(lambda t: _mark(t, window, shard), MARKED))
-    both = told.join(marks.select("range", "block", "runs", "starts", "lengths", "win"), ["range", "block"], "full")  # windows are dealt to ranges of their own
+            number = np.argsort(c.place[lead], kind="stable")  # neighbours overlap, which compresses well
+            lead, times = lead[number], times[number]
+            begin, stop = c.place[lead].tolist(), (c.place[lead] + c.n[lead] + window - 1).tolist()
+            for i, anchor, more, x, y in zip(number.tolist(), c.anchor[lead].view(np.int64).tolist(), (times > 1).tolist(), begin, stop):
+                out.append((3, None, None, block, None, None, None, anchor, i, more, c.data[x:y]))
+        return pa.Table.from_batches([table_of(out, SENT)])
+
+    alone = lambda f: lambda l, r: list(trimmed([f(l, r)]))[0]
+    sent = scratch.keep(blocks.select("block", "text").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(alone(send), SENT), "zstd")
+    dealt = sent.where("kind = 3").select("anchor", F.col("child").alias("block"), "number", "many", "data").repartition("anchor").sortWithinPartitions("anchor")
+    marks = scratch.keep(dealt.mapInArrow(lambda batches: trimmed(_marks(batches, window, shard)), MARKED))
+    wins = tree.totals(scratch, sent.where("kind < 3").select(*[x.split()[0] for x in MESSAGE.split(", ")]))
+    both = told.unionByName(wins.select(F.col("child").alias("block"), "kind", "range", "a")).unionByName(marks.withColumn("kind", F.lit(3)), allowMissingColumns=True)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = left.column("doc_id").to_pylist(), left.column("text").to_pylist()
@@ -321,35 +274,39 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int =
         cover = np.zeros(total + 1, np.int32)
         if len(texts) and right.num_rows:
             c = make(texts)
-            code = _codes(c, right)
-            _, _, whole, number = _sent(c, code)
-            got = [right.column(k).to_pylist() for k in ("runs", "starts", "lengths", "win")]
-            in_order = [i for i in _in_order(right) if got[0][i] is not None]
-            runs, starts, lengths = (np.concatenate([unpack(col[i], "<u4") for i in in_order] or [np.empty(0, "<u4")]).astype(np.int64) for col in got[:3])
-            first = np.cumsum(runs) - runs
-            n = runs[number] if len(number) else np.empty(0, np.int64)
-            which = np.repeat(first[number] - (np.cumsum(n) - n), n) + np.arange(n.sum()) if len(number) else np.empty(0, np.int64)
-            begin = np.repeat(c.place[whole], n) + starts[which]
-            np.add.at(cover, begin, 1)
-            np.add.at(cover, begin + lengths[which] + window - 1, -1)
+            code = _codes(c, right, hot)
+            _, _, which, number = _sent(c, code)
+            own = right.filter(pa.compute.equal(right.column("kind"), 3)).combine_chunks()
+            if own.num_rows:
+                lists = [own.column(k).combine_chunks() for k in ("starts", "lengths")]
+                starts, lengths = (x.flatten().to_numpy().astype(np.int64) for x in lists)
+                runs, at = np.zeros(int(number.max()) + 1, np.int64), np.zeros(int(number.max()) + 1, np.int64)
+                n = lists[0].value_lengths().to_numpy().astype(np.int64)
+                runs[own.column("number").to_numpy()] = n
+                at[own.column("number").to_numpy()] = np.cumsum(n) - n
+                n = runs[number]
+                run = np.repeat(at[number] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                begin = np.repeat(c.place[which], n) + starts[run]
+                np.add.at(cover, begin, 1)
+                np.add.at(cover, begin + lengths[run] + window - 1, -1)
             places, hashes = c.windows(np.flatnonzero(code == 2))
             if len(places):
-                more = np.concatenate([unpack(got[3][i], "u1") for i in in_order])
-                places = places[more[np.unique(hashes, return_inverse=True)[1]] > 0]
+                for k, h in enumerate(hashes):
+                    more = in_key_order(right, 1 + k, "a")[np.unique(h, return_inverse=True)[1]] > 1
+                    hashes[k] = more
+                places = places[hashes[0] & hashes[1]]
                 np.add.at(cover, places, 1)
                 np.add.at(cover, places + window, -1)
         gone = np.cumsum(cover)[:total] > 0
-        out: list[list] = [[], [], [], [], [], []]
+        out = []
         at = 0
         buf = np.frombuffer(b"".join(texts), np.uint8)
         for i, t, size in zip(ids, texts, sizes.tolist()):
             g = gone[at : at + size]
             left_ = buf[at : at + size][~g].tobytes() if g.any() else t
             at += size
-            row = (i, size, int(g.sum()), int((g[1:] & ~g[:-1]).sum() + g[:1].sum()), hashlib.sha256(left_).hexdigest(), left_ if with_bytes else None)
-            for k, v in zip(out, row):
-                k.append(v)
-        return pa.Table.from_batches([_batch(out, DONE)])
+            out.append((i, size, int(g.sum()), int((g[1:] & ~g[:-1]).sum() + g[:1].sum()), hashlib.sha256(left_).hexdigest(), left_ if with_bytes else None))
+        return pa.Table.from_batches([table_of(out, DONE)])
 
-    done = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(finish, DONE)
+    done = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(alone(finish), DONE)
     return done if with_bytes else done.drop("kept")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from stridegraph.llm import suffix_dedup
+from stridegraph.llm.merge_tree import Tree
 from stridegraph.llm.suffix_array import common_prefixes, suffix_array
 
 
@@ -59,16 +60,39 @@ def made_up():
     return rows
 
 
-@pytest.mark.parametrize("hot,segment,shard", [(10**6, 1 << 20, 1 << 20), (2, 97, 500)])
-def test_removal_matches_brute_force(spark, hot, segment, shard):
+@pytest.mark.parametrize("hot,segment,shard,tree", [(10**6, 1 << 20, 1 << 20, None), (2, 97, 500, (3, 4))])
+def test_removal_matches_brute_force(spark, hot, segment, shard, tree):
     rows = made_up()
-    docs = spark.createDataFrame([(i, t, "b") for i, t in enumerate(rows)], "doc_id long, text string, block string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(docs, window=24, gram=9, hot=hot, segment=segment, shard=shard).collect()}
+    docs = spark.createDataFrame([(i, t, "b", "k", 7) for i, t in enumerate(rows)], "doc_id long, text string, block string, kind string, place int")
+    more = {"rows": 9, "tree": Tree(17, 4, *tree)} if tree else {}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(docs, window=24, gram=9, hot=hot, segment=segment, shard=shard, **more).collect()}
     want = brute(rows, 24)
     assert [got[i] for i in range(len(rows))] == want
     assert 0 < sum(x[1] for x in want) < sum(x[0] for x in want)
 
 
+def test_a_passage_with_more_edges_than_the_bound(spark):
+    """Over 1024 contexts that differ at one anchor, with the production parameters; and just below, by suffix arrays."""
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(260)
+    rows = [text(rng.randrange(80, 150)) + passage + text(rng.randrange(80, 150)) for _ in range(suffix_dedup.HOT + 300)]
+    for part in (rows, rows[: suffix_dedup.HOT - 300]):
+        docs = spark.createDataFrame(list(enumerate(part)), "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed(docs, rows=400).collect()}
+        assert [got[i] for i in range(len(part))] == brute(part, 200)
+
+
+def test_contexts_of_equal_hash_are_told_apart_by_bytes():
+    c = suffix_dedup.Contexts([b"a" * 30 + b"b" * 30 + b"a" * 30 + b"c" * 40], 24, 9)
+    c.hash[:], c.anchor[:] = 1, 1
+    lead, times, which, number = suffix_dedup._sent(c, np.ones(len(c.n), int))
+    for i, k in zip(which, number):
+        a, b = (c.data[c.place[x] : c.place[x] + c.n[x] + 23] for x in (i, lead[k]))
+        assert a == b
+    assert times.sum() == len(which) == len(c.n)
+
+
 def test_removal_on_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = docs.orderBy("doc_id").collect()
