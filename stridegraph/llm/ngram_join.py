@@ -5,13 +5,17 @@ once. A class's MinHash signature is cut in bands; classes that share a band's h
 The numbers of bands and rows are chosen so that a pair at the threshold is found with at least the
 target recall. Candidates are verified on their full shingle sets.
 
-A band's bucket can hold any number of classes. Each is tied to the least class of its bucket, ties
-make clusters, and a cluster is compared in blocks of about BLOCK x BLOCK classes, each block in a
-task of its own: no pairs are emitted, a block returns the number of links per class and the ties
-that connect its linked classes. All pairs of a cluster are verified, also those that share no band.
+A band's bucket can hold any number of classes. Classes that share their largest bucket are dealt to
+chunks of about BLOCK; two chunks are compared, on full sets and in a group of their own, if some
+bucket has classes of both. So a bucket is compared in blocks, whatever its size, and classes that
+only a chain of buckets connects are not. No pairs are emitted: a block returns the number of links
+per class and the ties that connect its linked classes, and ties are merged to groups.
 
 Null or empty text: no shingles, so no links; such copies still form a class. A text of one to four
-words is one shingle. A null doc_id is a document like others. Repeated rows are copies.
+words is one shingle. A null doc_id is a document like others, and stays in one_of_each() only if
+its group has no other. Repeated rows are copies. Very long texts: a task holds a batch of 200, or
+two chunks. An empty table gives an empty result. joined() reads doc_id and text and ignores other
+columns; one_of_each() returns all columns as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stridegraph.llm.bytewords import mixed, word_hashes
-from stridegraph.llm.common import Scratch, components, trimmed
+from stridegraph.llm.common import Scratch, components, folded, small, trimmed
 
 #: Production parameters: words per shingle, least similarity (as a fraction), recall of pairs at that similarity, most hash functions, classes per side of a block.
-SHINGLE, NUMERATOR, DENOMINATOR, RECALL, HASHES, BLOCK = 5, 4, 5, 0.999, 144, 64
+SHINGLE, NUMERATOR, DENOMINATOR, RECALL, HASHES, BLOCK = 5, 4, 5, 0.999, 144, 128
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -123,18 +127,19 @@ def linked(a: list[np.ndarray], b: list[np.ndarray] | None, numerator: int, deno
     return out
 
 
-def ties(n: int, pairs: np.ndarray) -> np.ndarray:
-    """The least member of each one's group."""
-    top = list(range(n))
-    for i, j in pairs.tolist():
+def ties(cid: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """For each the place of the least cid in its group."""
+    rank = np.argsort(np.argsort(cid))
+    top = list(range(len(cid)))
+    for i, j in rank[pairs].tolist():
         while top[i] != i:
             top[i] = i = top[top[i]]
         while top[j] != j:
             top[j] = j = top[top[j]]
         top[max(i, j)] = min(i, j)
-    for i in range(n):
+    for i in range(len(top)):
         top[i] = top[top[i]]
-    return np.array(top, np.int64)
+    return np.argsort(rank)[np.array(top, np.int64)[rank]]
 
 
 class Joined:
@@ -144,48 +149,58 @@ class Joined:
         self.docs, self.classes = docs, classes
 
 
+def chunked(scratch: Scratch, marks: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """members (cid, chunk) and pairs (i, j) of chunks that share a bucket, i <= j. marks: (cid, mark), written.
+
+    A class's home is the largest of its buckets, so classes that are alike mostly share it; a home is
+    dealt to chunks of about block classes. Chunks meet if a bucket has classes of both.
+    """
+    buckets = scratch.keep(marks.groupBy("mark").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    met = scratch.keep(marks.join(buckets, "mark"))
+    homes = scratch.keep(met.groupBy("cid").agg(F.max(F.struct("c", "mark")).alias("home")).select("cid", F.col("home.mark").alias("home")))
+    sizes = scratch.keep(homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n")))
+    chunk = F.struct("home", F.pmod(F.xxhash64("cid"), F.col("n")).cast("int").alias("part"))
+    members = scratch.keep(homes.join(sizes, "home").select("cid", chunk.alias("chunk")))
+    at = scratch.keep(met.select("cid", "mark").join(members, "cid").select("mark", "chunk").distinct())
+    pairs = at.select("mark", F.col("chunk").alias("i")).join(at.select("mark", F.col("chunk").alias("j")), "mark").where("i <= j")
+    return members, scratch.keep(pairs.select("i", "j").distinct())
+
+
 def join(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, recall: float = RECALL, k: int = SHINGLE, block: int = BLOCK) -> Joined:
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngrams")
+    scratch = Scratch(docs.sparkSession, "ngrams")
     bands, rows = banding(numerator / denominator, recall)
     signed = scratch.keep(signatures(docs, bands, rows, k))
     classes = signed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
     classes = scratch.keep(classes.withColumn("cid", F.monotonically_increasing_id()))
+    members, pairs = chunked(scratch, classes.select("cid", F.explode("bands").alias("mark")), block)
 
-    marks = classes.select("cid", F.explode("bands").alias("mark"))
-    buckets = scratch.keep(marks.groupBy("mark").agg(F.min("cid").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("mark", "least"))
-    clusters = scratch.keep(components(scratch, marks.join(buckets, "mark").select(F.col("cid").alias("a"), F.col("least").alias("b"))))
-    sizes = scratch.keep(clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks")))
-    members = clusters.join(sizes, "root").select(F.col("node").alias("cid"), "root", "chunks")
     members = scratch.keep(members.join(classes.select("cid", "key", "n"), "cid"))
-
-    texts = docs.select(copy_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text")).groupBy("key").agg(F.first("text").alias("text"))
-    own = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")
-    each = members.join(texts, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    each = each.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "n", "text")
+    texts = docs.select(copy_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text")).join(small(members.select("key")), "key", "left_semi")
+    texts = texts.groupBy("key").agg(F.first("text").alias("text"))
+    sides = pairs.select(F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("chunk"), "i", "j")
+    each = members.join(texts, "key").join(sides, "chunk").select("i", "j", (F.col("chunk") == F.col("j")).alias("right"), "cid", "n", "text")
 
     def compare(rows_: pa.Table) -> pa.Table:
-        i, j = rows_.column("i")[0].as_py(), rows_.column("j")[0].as_py()
-        cid, n = rows_.column("cid").to_numpy(), rows_.column("n").to_numpy()
-        own = rows_.column("own").to_numpy()
+        one = rows_.column("i")[0].as_py() == rows_.column("j")[0].as_py()
+        cid, n, own = (rows_.column(c).to_numpy() for c in ("cid", "n", "right"))
         order = np.lexsort((cid, own))
         cid, n, own = cid[order], n[order], own[order]
         texts_ = rows_.column("text").to_pylist()
         sets = shingle_sets([texts_[x] or b"" for x in order.tolist()], k)
-        if i == j:
+        if one:
             on = linked(sets, None, numerator, denominator)
             links = on @ n
             pairs = np.argwhere(np.triu(on))
         else:
-            cut = int((own == i).sum())
-            on = linked(sets[:cut], sets[cut:], numerator, denominator) if 0 < cut < len(sets) else np.zeros((cut, len(sets) - cut), bool)
+            cut = int((~own).sum())
+            on = linked(sets[:cut], sets[cut:], numerator, denominator)
             links = np.concatenate([on @ n[cut:], on.T @ n[:cut]])
             pairs = np.argwhere(on) + np.array([0, cut])
-        to = cid[ties(len(cid), pairs)]
+        to = cid[ties(cid, pairs)]
         some = (links > 0) | (to != cid)
         return pa.table({"cid": pa.array(cid[some], pa.int64()), "links": pa.array(links[some], pa.int64()), "to": pa.array(to[some], pa.int64())})
 
-    got = scratch.keep(each.groupBy("root", "i", "j").applyInArrow(compare, "cid long, links long, to long"))
+    got = scratch.keep(each.groupBy("i", "j").applyInArrow(lambda t: list(trimmed([compare(t)]))[0], "cid long, links long, to long"))
     groups = scratch.keep(components(scratch, got.select(F.col("cid").alias("a"), F.col("to").alias("b"))))
     links = scratch.keep(got.groupBy("cid").agg(F.sum("links").alias("links")))
     info = classes.drop("bands").join(links, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
@@ -203,12 +218,13 @@ def joined(docs: DataFrame, **options) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs without near-duplicates: of each group the row of least doc_id stays, with all its columns."""
-    made = join(docs, **options)
+    """The rows of docs without near-duplicates: of each group a row of least doc_id stays, with all its columns."""
+    made = join(docs.select("doc_id", "text"), **options)
     scratch = Scratch(docs.sparkSession, "ngrams-out")
-    best = made.classes.groupBy("group").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key")).alias("b"))
-    best = scratch.keep(best.select(F.col("b.key").alias("_key"), F.col("b.first").alias("_first")))
-    cols = docs.columns
-    rows = docs.withColumn("_key", copy_key(F.col("text"))).withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-    best = best.select("_key", F.coalesce("_first", F.lit(-(2**63))).alias("_doc"))
-    return rows.join(best, ["_doc", "_key"]).dropDuplicates(["_doc", "_key"]).select(*cols)
+    order = F.struct(F.col("first").isNull().alias("none"), "first", "key")
+    best = scratch.keep(made.classes.groupBy("group").agg(F.min(order).alias("b")).select("b.*"))
+    rows = folded(docs, copy_key(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("first"), F.col("doc_id").isNull().alias("none"))
+    rows = rows.withColumnRenamed("first", "doc")
+    kept = rows.join(best, (rows.key == best.key) & (rows.none == best.none) & rows.doc.eqNullSafe(best["first"]), "left_semi")
+    # copies of the row that stays, of one doc_id: the least by its columns as JSON
+    return kept.groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")

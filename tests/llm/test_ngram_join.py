@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,10 +72,50 @@ def test_join_on_documents(spark, sf_dir):
 
 def test_one_of_each_keeps_columns_and_one_row(spark):
     rows = made_up()
-    docs = spark.createDataFrame([(d, t, i, "x") for i, (d, t) in enumerate(rows)], "doc_id long, text string, n long, cid string")
+    names = ("n", "cid", "key", "_key", "_doc", "row", "first", "doc", "none", "group", "mark", "chunk")
+    docs = spark.createDataFrame([(d, t, *[i] * len(names)) for i, (d, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
     out = ngram_join.one_of_each(docs).collect()
     assert len(out) == len({(c if c is not None else "none") for c, _ in brute(rows)})
-    assert out[0].asDict().keys() == {"doc_id", "text", "n", "cid"}
+    assert tuple(out[0].asDict()) == ("doc_id", "text", *names)
+    for r in out:
+        assert rows[r.n] == (r.doc_id, r.text) and {r[c] for c in names} == {r.n}
+    least = spark.createDataFrame([(None, "a b c d e f g"), (-(2**63), "a b c d e f g"), (None, "q")], "doc_id long, text string")
+    assert sorted(map(str, ngram_join.one_of_each(least).collect())) == sorted(["Row(doc_id=-9223372036854775808, text='a b c d e f g')", "Row(doc_id=None, text='q')"])
+    assert ngram_join.one_of_each(least.limit(0)).count() == 0
+
+
+def test_a_cluster_of_5000_near_copies(spark):
+    """All differ; each pair is alike by its number of shared words, so links are known without all pairs."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(300)]
+    rows, ends = [], []
+    for i in range(5000):  # a part of the base up to an end, and a word of its own
+        end = rng.randrange(280, 301)
+        ends.append(end)
+        rows.append((i, " ".join([*base[:end], f"own{i}"])))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {(0, 4999)}
+
+
+def test_recall_is_measured(spark, sf_dir):
+    """At sf0.01, of pairs of different texts that share a five-word shingle."""
+    docs = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    texts = sorted({t or "" for _, t in rows})
+    times, sets, near = Counter(t or "" for _, t in rows), [shingles(t) for t in texts], defaultdict(list)
+    for i, x in enumerate(sets):
+        for g in x:
+            near[g].append(i)
+    want = Counter()
+    for i, x in enumerate(sets):
+        shared = Counter(j for g in x for j in near[g])
+        for j, n in shared.items():
+            if j != i and n * 5 >= 4 * (len(x) + len(sets[j]) - n):
+                want[texts[i]] += times[texts[j]]
+    got = {r.doc_id: r.n_links for r in ngram_join.joined(docs).collect()}
+    whole = {d: want[t or ""] + (times[t or ""] - 1 if shingles(t) else 0) for d, t in rows}
+    assert sum(whole.values()) > 100 and all(got[d] <= n for d, n in whole.items())
+    assert sum(got.values()) >= 0.99 * sum(whole.values())
 
 
 def test_no_rows(spark):
