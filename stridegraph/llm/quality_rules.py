@@ -2,15 +2,18 @@
 
 Minimum-covariance-determinant estimates are made for each language and source: from two
 deterministic starts, concentration steps keep the HALF of a group's vectors that lie nearest (by
-Mahalanobis distance) to the mean of those kept before; of the two, the estimate with the smaller
-determinant is reweighted, and vectors beyond CUT are rejected. A step is one aggregation: vectors
-are summed by group and distance bin, and the bins that hold the nearest part are added up. All is
-made of built-in functions; sums are pre-aggregated, so a group of any size is no burden for a task.
-
-Groups of under LEAST vectors are pooled by language, those pools if small in one; a pool that is
-small still gives no verdict. A floor is added to each variance, as most documents agree in some
+Mahalanobis distance) to the mean of those kept before, until the determinants settle; of the two,
+the estimate with the smaller determinant is reweighted, and vectors beyond the cut are rejected. A
+step is one aggregation: vectors are summed by group and distance bin, and the bins that hold the
+nearest part are added up; of the last of them, 1/16 of a doubling wide, every vector counts by the
+part that is wanted, so the subset has its exact size without a sort. All is made of built-in
+functions; sums are pre-aggregated, so a group of any size is no burden for a task.
+
+Groups of under LEAST vectors, too few for a determinant, are pooled by language, those pools if small
+in one; a pool that is small still gives no verdict. A floor is added to each variance, as most documents agree in some
 statistics. Null text: no words, so base_failed. Null lang or source: a group of its own.
-Repeated rows count each. An empty table gives an empty result. Other columns are ignored.
+Repeated rows count each, and vectors that tie are alike to the estimates. Very long texts: the words
+of one are held as an array. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from stridegraph.llm.common import Scratch, small, words_of
 
 #: Fixed by the contract of the base rules.
 MIN_WORDS, SYMBOLS = 50, r"[#*$%&|<>]"
-#: Production parameters: part of a group that the determinant is minimised over, steps, least group, floors of the standard deviations, and the part of a normal sample beyond the cut.
-HALF, STEPS, LEAST = 0.75, 4, 60
+#: Production parameters: part of a group that the determinant is minimised over, most steps, least group (twice as many vectors as the determinant needs), change of the determinants' logarithm at which steps end, floors of the standard deviations, and the part of a normal sample beyond the cut.
+HALF, STEPS, LEAST, SETTLED = 0.75, 12, 10, 1e-6
 FLOOR = (0.08, 0.04, 0.08, 0.08)
 BEYOND = 1e-6
 P = len(FLOOR)
@@ -60,7 +63,8 @@ def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of each text.
 
     Words in repeated windows: a long per window holds the upper bits of its hash and its place, so
-    sorting longs brings equal windows together; neighbours with equal bits are compared word by word.
+    sorting longs brings equal windows together; neighbours with equal bits are compared word by word,
+    and if they differ, all windows of the text with these bits.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", "lang", "source", text.alias("t")).select("*", words_of(F.col("t")).alias("w"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
@@ -81,7 +85,12 @@ def statistics(docs: DataFrame) -> DataFrame:
         at = [x.bitwiseAND(F.col("low")).cast("int") for x in (a, b)]
         return (a.bitwiseAND(F.bitwise_not("low")) == b.bitwiseAND(F.bitwise_not("low"))) & (word(at[0]) == word(at[1])) & (word(at[0] + 1) == word(at[1] + 1)) & (word(at[0] + 2) == word(at[1] + 2))
 
-    twice = F.filter("s", lambda x, k: F.coalesce(same(x, F.get(F.col("s"), k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(F.col("s"), k + 1)), F.lit(False)))
+    # of windows with equal bits neighbours may differ and hide an equal one: where that is so, all of them are looked through
+    bits = lambda a, b: F.coalesce(a.bitwiseAND(F.bitwise_not("low")) == b.bitwiseAND(F.bitwise_not("low")), F.lit(False))
+    near = lambda k: (F.get(F.col("s"), k - 1), F.get(F.col("s"), k + 1))
+    beside = lambda x, k: F.coalesce(same(x, near(k)[0]), F.lit(False)) | F.coalesce(same(x, near(k)[1]), F.lit(False))
+    hidden = lambda x, k: (bits(x, near(k)[0]) | bits(x, near(k)[1])) & F.exists("s", lambda y: (x != y) & F.coalesce(same(x, y), F.lit(False)))
+    twice = F.filter("s", lambda x, k: beside(x, k) | hidden(x, k))
     d = d.withColumn("r", twice).drop("s").withColumn("r", F.sort_array(F.transform("r", lambda x: x.bitwiseAND(F.col("low"))))).drop("w", "low")
     step = F.transform("r", lambda x, k: F.least(F.lit(3).cast("long"), F.coalesce(F.get(F.col("r"), k + 1) - x, F.lit(3).cast("long"))))
     d = d.withColumn("n_repeat_words", F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)).drop("r")
@@ -145,18 +154,24 @@ def estimates(scratch: Scratch, rows: DataFrame) -> DataFrame:
         root = {f"l{i}{j}": F.sqrt(((F.col(f"q{i}")[high] - F.col(f"q{i}")[low]) / width) ** 2 + F.lit(FLOOR[i] ** 2)) if i == j else F.lit(0.0) for i, j in PAIRS}
         starts.append(spread.select("key", F.lit(k).alias("start"), *[v.cast("double").alias(c) for c, v in (middle | root).items()]))
     model = scratch.keep(starts[0].unionByName(starts[1]))
-    near = lambda g, part, by: scratch.keep(
-        g.withColumn("_before", F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_all", F.sum("n").over(W.partitionBy(*by)))
-        .where(F.col("_before") < F.lit(part) * F.col("_all"))
-        .groupBy(*by)
-        .agg(*[F.sum(c).alias(c) for c in ["n", *[f"s{i}" for i in range(P)], *[f"s{i}{j}" for i, j in PAIRS]]])
-    )
+    parts = ["n", *[f"s{i}" for i in range(P)], *[f"s{i}{j}" for i, j in PAIRS]]
+    by = ["key", "start"]
+
+    def nearest(g: DataFrame) -> DataFrame:
+        """Sums over the nearest HALF; of the bin in which it ends every vector counts by the part that is wanted."""
+        before = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        g = g.withColumn("want", F.lit(HALF) * F.sum("n").over(W.partitionBy(*by)) - before).where("want > 0")
+        share = F.least(F.lit(1.0), F.col("want") / F.col("n"))
+        return g.groupBy(*by).agg(*[F.sum(F.col(c) * share).alias(c) for c in parts])
+
+    size = sum((F.log(F.col(f"l{i}{i}")) for i in range(P)), F.lit(0.0))
     bin_ = F.floor(F.log2(squared_distance() + 1e-9) * FINE).cast("int")
     for _ in range(STEPS):
-        g = rows.join(small(model.select("key", "start", *MODEL)), "key").groupBy("key", "start", bin_.alias("bin")).agg(*sums())
-        model = estimate(near(g, HALF, ["key", "start"]), consistent(HALF))
-    size = sum((F.log(F.col(f"l{i}{i}")) for i in range(P)), F.lit(0.0))
+        g = rows.join(small(model.select(*by, *MODEL)), "key").groupBy(*by, bin_.alias("bin")).agg(*sums())
+        last, model = model, scratch.keep(estimate(scratch.keep(nearest(g)), consistent(HALF)).select(*by, *MODEL))
+        moved = model.select(*by, size.alias("a")).join(last.select(*by, size.alias("b")), by).where(F.abs(F.col("a") - F.col("b")) > SETTLED)
+        if moved.isEmpty():
+            break
     best = model.withColumn("_size", size).groupBy("key").agg(F.min_by(F.struct(*MODEL), F.struct("_size", "start")).alias("_m")).select("key", "_m.*")
     kept = rows.join(small(scratch.keep(best)), "key").where(squared_distance() <= chi2_quantile(0.975, P)).groupBy("key").agg(*sums())
     return scratch.keep(estimate(scratch.keep(kept), consistent(0.975)).select("key", *MODEL))

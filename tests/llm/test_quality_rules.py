@@ -52,5 +52,54 @@ def test_outliers_do_not_move_the_estimate(spark):
     assert all(abs(v.d - (np.array(v[:4]) - mean) @ inv @ (np.array(v[:4]) - mean)) < 1e-6 for v in d)
 
 
+def test_windows_of_equal_bits_hide_nothing(spark, monkeypatch):
+    """With two bits of hash nearly all windows meet; equal ones are found all the same."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdef"), rng.integers(1, 80))) for _ in range(60)]
+    hashed = qr.F.xxhash64
+    monkeypatch.setattr(qr.F, "xxhash64", lambda *c: qr.F.shiftleft(hashed(*c), 62))
+    docs = spark.createDataFrame([(i, t, "l", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    for r in qr.statistics(docs).collect():
+        assert r.n_repeat_words == brute(texts[r.doc_id])[4]
+
+
+def test_over_a_million_words(spark):
+    n = 2**20 + 50
+    words = [f"w{i}" for i in range(n)]
+    words[-3:] = words[1000:1003]
+    docs = spark.createDataFrame([(1, " ".join(words), "l", "s")], "doc_id long, text string, lang string, source string")
+    got = qr.statistics(docs).first()
+    assert (got.n_words, got.n_repeat_words) == (n, 6)
+
+
+def test_estimates_match_an_exact_determinant(spark):
+    """Steps over all vectors, sorted, from the same starts."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal([1.5, 0.2, 0.1, 0.1], [0.2, 0.1, 0.05, 0.1], (700, 4)), rng.normal(3, 0.2, (120, 4))])
+    floor, h = np.diag(np.square(qr.FLOOR)), qr.HALF * len(x)
+
+    def step(near):
+        m = x[near].mean(0)
+        return m, qr.consistent(qr.HALF) * ((x[near] - m).T @ (x[near] - m) / len(near)) + floor
+
+    distance = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    best = None
+    for low, high, width in ((0.25, 0.75, 1.349), (0.1, 0.9, 2.563)):
+        m, c = np.median(x, 0), np.diag(((np.quantile(x, high, 0) - np.quantile(x, low, 0)) / width) ** 2) + floor
+        for _ in range(40):
+            m, c = step(np.argsort(distance(m, c))[: int(h)])
+        if best is None or np.linalg.det(c) < best[0]:
+            best = np.linalg.det(c), m, c
+    on = distance(best[1], best[2]) <= qr.chi2_quantile(0.975, 4)
+    m = x[on].mean(0)
+    c = qr.consistent(0.975) * np.cov(x[on].T, bias=True) + floor
+    from stridegraph.llm.common import Scratch
+
+    scratch = Scratch(spark, "t")
+    r = qr.estimates(scratch, scratch.keep(spark.createDataFrame([("g", *map(float, v)) for v in x], "key string, x0 double, x1 double, x2 double, x3 double"))).first()
+    low = np.array([[r[f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+    assert np.abs(np.array([r[f"m{i}"] for i in range(4)]) - m).max() < 0.01 and np.abs(low @ low.T - c).max() < 0.003
+
+
 def test_no_rows(spark):
     assert qr.judged(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
