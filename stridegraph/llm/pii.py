@@ -10,7 +10,10 @@ All is built-in functions over one row per document. What reaches the driver is
 combinations (at most 6 x 3**5 rows) and one of features (at most FEATURES rows).
 
 Null or empty text: no spans. Spans are in code points, end exclusive. Repeated rows give repeated
-rows. An empty table gives an empty result, and a model that accepts no further candidates.
+rows. Further spans that tie in start are taken by kind, then end. Very long texts: a row holds the
+parts between the matches of each of the nine patterns. An empty table gives an empty result, and a
+model that accepts no further candidates. detected() and digests() read doc_id and text and ignore
+other columns.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stridegraph.llm.common import Scratch
+from stridegraph.llm.common import Scratch, folded
 
 #: In the order in which spans of one start are listed.
 KINDS = ("email", "ip", "card", "phone", "id", "secret")
@@ -196,7 +199,9 @@ def model(cands: DataFrame) -> dict[str, float]:
         return {}
     chance = F.element_at(F.from_json(F.lit(json.dumps({f"{k}:{v}": x for (k, v), x in p.items()})), "map<string,double>"), F.concat_ws(":", F.col("c.kind").cast("string"), F.col("c.votes")))
     each = flat.select(chance.alias("p"), F.explode(F.concat("c.features", F.array(F.concat(F.lit("k:"), F.col("c.kind").cast("string"))))).alias("f"))
-    got = each.groupBy("f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).limit(FEATURES).collect()  # the set of features is smaller, whatever the input
+    got = each.groupBy("f").agg(F.sum("p").alias("yes"), F.sum(1 - F.col("p")).alias("no")).limit(FEATURES + 1).collect()
+    if len(got) > FEATURES:  # the set of features is smaller, whatever the input
+        raise RuntimeError(f"more than {FEATURES} features")
     total = {r["f"][2:]: (r["yes"], r["no"]) for r in got if r["f"].startswith("k:")}
     out = {}
     for r in got:
@@ -239,10 +244,10 @@ def detected(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with every span in the text replaced by its kind in angle brackets, and n_chars set to the new length."""
+    """docs with every span in the text replaced by its kind in angle brackets, and n_chars set to the new length. All other columns stay, whatever their names."""
     scratch = Scratch(docs.sparkSession, "pii")
     cols = docs.columns
-    made = candidates(docs)
+    made = candidates(folded(docs, F.col("text").alias("text")))
     weights = model(scratch.keep(made.select("cands")))
     d = found(made, weights)
     # spans that meet are covered from the first one's start to the furthest end so far
@@ -253,8 +258,11 @@ def redacted(docs: DataFrame) -> DataFrame:
     pieces = F.transform("spans", lambda s, i: F.concat(part(F.get("_from", i), s["start"]), F.when(s["end"] > F.get("_from", i), F.get(name, s["kind"])).otherwise(F.lit(""))))
     last = F.array_max(F.transform("spans", lambda s: s["end"]))
     new = F.when(F.size("spans") > 0, F.concat(F.array_join(pieces, ""), F.substr(F.col("text"), (last + 1).cast("int")))).otherwise(F.col("text"))
-    d = d.withColumn("text", new)
-    return d.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*cols)
+    some = F.size("spans") > 0
+    d = d.select("row", new.alias("new"), some.alias("some"))
+    size = lambda c: F.when(F.col("some"), F.length("new").cast("long")).otherwise(F.col("row.n_chars")).cast(docs.schema[c].dataType)
+    own = {"text": lambda c: F.col("new"), "n_chars": size}
+    return d.select(*[own.get(c, lambda c: F.col(f"row.`{c}`"))(c).alias(c) for c in cols])
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -81,6 +81,26 @@ def test_redaction_takes_all_spans_out(spark, docs):
             assert out[r.doc_id].text == r.text
 
 
+def test_names_of_columns_do_not_matter(spark, docs):
+    names = ("spans", "base", "cands", "row", "new", "some", "_c", "_from", "_more", "_g0", "_m0", "_p0", "_l0")
+    plain = docs.withColumn("n_chars", F.length("text").cast("long"))
+    rows = plain.withColumns({c: F.col("doc_id") for c in names})
+    want = {r.doc_id: (r.text, r.n_chars) for r in pii.redacted(plain).collect()}
+    got = pii.redacted(rows)
+    assert got.columns == rows.columns
+    for r in got.collect():
+        assert (r.text, r.n_chars) == want[r.doc_id] and {r[c] for c in names} == {r.doc_id}
+    assert pii.redacted(rows.limit(0)).count() == 0
+    assert sorted(map(str, pii.digests(rows).collect())) == sorted(map(str, pii.digests(docs).collect()))
+
+
+def test_features_beyond_the_bound_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "FEATURES", 3)
+    made = pii.candidates(spark.createDataFrame([(1, "mail a@b.de and 10.0.0.1")], "doc_id long, text string"))
+    with pytest.raises(RuntimeError):
+        pii.model(made)
+
+
 def test_no_rows(spark):
     assert pii.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
