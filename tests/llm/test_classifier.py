@@ -13,11 +13,13 @@ def test_held_out_accuracy(spark, sf_dir):
     assert np.mean([r.kept == bool(q) for q, r in test]) > 0.95
     assert np.mean([r.kept for q, r in test if q == 1]) > 0.97
     assert np.mean([(r.text_score >= 0.5) == bool(q) for q, r in test]) > 0.9 and np.mean([(r.meta_score >= 0.5) == bool(q) for q, r in test]) > 0.9
-    rows = classifier.kept(docs.withColumn("score", docs.doc_id), model).collect()
-    assert {r.doc_id for r in rows} == {d for d, r in got.items() if r.kept} and all(r.score == r.doc_id for r in rows)
+    names = ("score", "y", "_id", "row", "block", "kept")
+    more = docs.withColumns({c: docs.doc_id for c in names})
+    rows = classifier.kept(more, classifier.fitted(more, train)).collect()
+    assert {r.doc_id for r in rows} == {d for d, r in got.items() if r.kept} and all(r[c] == r.doc_id for r in rows for c in names)
 
 
-def test_rounds_of_exchange_help_a_view_with_few_labels():
+def test_rounds_of_exchange_help_a_view_with_few_labels(monkeypatch):
     rng = np.random.default_rng(1)
     n = 600
     y = (rng.random(n) < 0.5).astype(float)
@@ -26,7 +28,16 @@ def test_rounds_of_exchange_help_a_view_with_few_labels():
     labelled[:60] = True
     apart = np.zeros(n, bool)
     apart[40:60] = True
-    model = classifier.CoTrained().fit([view(0.02), view(0.02)], np.where(labelled, y, 0.0), labelled, apart)
+    # words of a hundred kinds a class, of which few labels show few: the other view's labels show the rest
+    text = (np.arange(n), (y * 100 + rng.integers(0, 100, n)).astype(int), np.full(n, 3.0))
+    rest = ~labelled
+    right = []
+    for rounds in (0, classifier.ROUNDS):
+        monkeypatch.setattr(classifier, "ROUNDS", rounds)
+        models = classifier.exchanged([text, view(0.02)], np.where(labelled, y, 0.0), labelled, labelled & ~apart)
+        right.append(np.mean((models[0].raw(text, n) > 0)[rest] == y[rest]))
+    assert right[1] > right[0] + 0.1
+    model = classifier.CoTrained().fit([text, view(0.02)], np.where(labelled, y, 0.0), labelled, apart)
     assert model.model is not None and len(model.model) == 2
 
 
@@ -38,6 +49,10 @@ def test_odd_tables(spark):
     assert len(got) == 4 and all(r.kept and r.score == 0.5 for r in got)
     some = spark.createDataFrame([(1, 1), (2, 0), (2, None), (2, 0), (None, 1), (77, 1)], "doc_id long, quality int")
     assert classifier.scored(docs, classifier.fitted(docs, some)).count() == 4
+    twice = spark.createDataFrame([(i, t, "en", "s", 9) for i in range(60) for t in (f"good calm prose {i}" if i % 2 else f"buy cheap now {i}", f"other {i}")], schema)
+    known = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    first, again = (sorted(map(str, classifier.scored(twice, classifier.fitted(d, known)).collect())) for d in (twice, twice.orderBy("text", ascending=False)))
+    assert first == again
     empty = spark.createDataFrame([], schema)
     assert classifier.scored(empty, classifier.fitted(empty, some)).count() == 0
 
