@@ -37,3 +37,39 @@ def test_odd_pages(spark):
     rows = [(1, "u", None), (1, "u", "<p>x"), (None, None, "<article><p>y</p></article>" * 2)]
     got = extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert sorted(r.text for r in got) == ["", "x", "y y"]
+
+
+PROSE = "This sentence is part of the main text, and it is long enough to count as such. " * 3
+
+
+def test_pages_without_article_or_main():
+    links = "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(12))
+    page = f"<body><div><ul>{links}</ul></div><div><h1>A heading</h1><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p></div><div><p><a href='#'>About</a> | <a href='#'>Imprint</a></p></div></body>"
+    want = " ".join(["A heading", PROSE.strip(), "Short.", PROSE.strip()])
+    assert main_text(page) == want
+    table = f"<table><tr><td>{links}</td><td><p>{PROSE}</p><p>{PROSE}</p></td></tr></table>"
+    assert main_text(table) == " ".join([PROSE.strip()] * 2)
+
+
+def test_a_name_does_not_drop_most_of_the_text():
+    for name in ("search-results", "skip-content", "related", "notice", "alert"):
+        page = f"<body><div id='{name}'><p>{PROSE}</p><p>{PROSE}</p></div><div class='sidebar'><p>{PROSE}</p></div></body>"
+        assert main_text(page) == " ".join([PROSE.strip()] * 2)
+        page = f"<body><article><p>{PROSE}</p><div class='{name}'>See also this.</div><p>{PROSE}</p></article></body>"
+        assert main_text(page) == " ".join([PROSE.strip()] * 2)
+
+
+def test_deep_nesting_takes_linear_time(spark):
+    import time
+
+    page = lambda n: "<div>" * n + f"<p>{PROSE}</p>" + "</div></b>" * n
+    took = []
+    for n in (4000, 32000):
+        began = time.perf_counter()
+        assert main_text(page(n)) == PROSE.strip()
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0] + 0.5
+    names = ("text", "n_chars", "row")
+    docs = spark.createDataFrame([(1, "u", page(5), *["x"] * 3)] * 2 + [(None, None, None, *["x"] * 3)], "page_id long, url string, html string, " + ", ".join(f"{c} string" for c in names))
+    rows = extracted(docs).collect()
+    assert sorted(r.text for r in rows) == ["", PROSE.strip(), PROSE.strip()] and extracted(docs.limit(0)).count() == 0
