@@ -6,8 +6,8 @@ The numbers of bands and rows are chosen so that a pair at the threshold is foun
 target recall. Candidates are verified on their full shingle sets.
 
 A band's bucket can hold any number of classes. Classes that share their largest bucket are dealt to
-chunks of about BLOCK; two chunks are compared, on full sets and in a group of their own, if some
-bucket has classes of both. So a bucket is compared in blocks, whatever its size, and classes that
+chunks of about BLOCK, which are packed to a row each, so sets are made once; two chunks are compared,
+on full sets and in a group of their own, if some bucket has classes of both. So a bucket is compared in blocks, whatever its size, and classes that
 only a chain of buckets connects are not. No pairs are emitted: a block returns the number of links
 per class and the ties that connect its linked classes, and ties are merged to groups.
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from stridegraph.llm.bytewords import mixed, word_hashes
 from stridegraph.llm.common import Scratch, components, folded, small, trimmed
+from stridegraph.llm.merge_tree import pack, pack_keys, unpack, unpack_keys
 
 #: Production parameters: words per shingle, least similarity (as a fraction), recall of pairs at that similarity, most hash functions, classes per side of a block.
 SHINGLE, NUMERATOR, DENOMINATOR, RECALL, HASHES, BLOCK = 5, 4, 5, 0.999, 144, 128
@@ -142,6 +143,25 @@ def ties(cid: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return np.argsort(rank)[np.array(top, np.int64)[rank]]
 
 
+#: A chunk as one row: its classes, and their sets as places in a dictionary of all shingles, which copies mostly share.
+PACKED = "cid binary, n binary, sizes binary, dictionary binary, places binary"
+
+
+def _packed(rows: pa.Table, k: int) -> pa.Table:
+    rows = rows.sort_by([("cid", "ascending")])
+    sets = shingle_sets([t or b"" for t in rows.column("text").to_pylist()], k)
+    dictionary, places = np.unique(np.concatenate(sets), return_inverse=True)
+    cols = [pack(rows.column("cid").to_numpy()), pack(rows.column("n").to_numpy()), pack(np.array([len(x) for x in sets])), pack_keys(dictionary), pack(places, "<u4")]
+    names = [x.split()[0] for x in PACKED.split(", ")]
+    return pa.table([rows.column("chunk").slice(0, 1).combine_chunks(), *(pa.array([c], pa.binary()) for c in cols)], names=["chunk", *names])
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    sizes = unpack(row["sizes"]).astype(np.int64)
+    hashes = unpack_keys(row["dictionary"])[unpack(row["places"], "<u4")]
+    return unpack(row["cid"]).astype(np.int64), unpack(row["n"]).astype(np.int64), np.split(hashes, np.cumsum(sizes)[:-1])
+
+
 class Joined:
     """Results of the join, as written tables: docs (doc_id, key) and classes (key, cid, n, first, group, links)."""
 
@@ -177,30 +197,29 @@ def join(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMIN
     members = scratch.keep(members.join(classes.select("cid", "key", "n"), "cid"))
     texts = docs.select(copy_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text")).join(small(members.select("key")), "key", "left_semi")
     texts = texts.groupBy("key").agg(F.first("text").alias("text"))
+    alone = lambda f: lambda t: list(trimmed([f(t)]))[0]
+    packed = members.join(texts, "key").select("chunk", "cid", "n", "text").groupBy("chunk").applyInArrow(alone(lambda t: _packed(t, k)), "chunk struct<home:long,part:int>, " + PACKED)
+    packed = scratch.keep(packed, "zstd")
     sides = pairs.select(F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("chunk"), "i", "j")
-    each = members.join(texts, "key").join(sides, "chunk").select("i", "j", (F.col("chunk") == F.col("j")).alias("right"), "cid", "n", "text")
+    each = packed.join(sides, "chunk").select("i", "j", (F.col("chunk") == F.col("j")).alias("right"), "cid", "n", "sizes", "dictionary", "places")
 
     def compare(rows_: pa.Table) -> pa.Table:
-        one = rows_.column("i")[0].as_py() == rows_.column("j")[0].as_py()
-        cid, n, own = (rows_.column(c).to_numpy() for c in ("cid", "n", "right"))
-        order = np.lexsort((cid, own))
-        cid, n, own = cid[order], n[order], own[order]
-        texts_ = rows_.column("text").to_pylist()
-        sets = shingle_sets([texts_[x] or b"" for x in order.tolist()], k)
-        if one:
-            on = linked(sets, None, numerator, denominator)
+        sides = [_unpacked(r) for r in sorted(rows_.to_pylist(), key=lambda r: r["right"])]
+        cid, n = (np.concatenate([s[c] for s in sides]) for c in (0, 1))
+        if len(sides) == 1:
+            on = linked(sides[0][2], None, numerator, denominator)
             links = on @ n
             pairs = np.argwhere(np.triu(on))
         else:
-            cut = int((~own).sum())
-            on = linked(sets[:cut], sets[cut:], numerator, denominator)
+            cut = len(sides[0][0])
+            on = linked(sides[0][2], sides[1][2], numerator, denominator)
             links = np.concatenate([on @ n[cut:], on.T @ n[:cut]])
             pairs = np.argwhere(on) + np.array([0, cut])
         to = cid[ties(cid, pairs)]
         some = (links > 0) | (to != cid)
         return pa.table({"cid": pa.array(cid[some], pa.int64()), "links": pa.array(links[some], pa.int64()), "to": pa.array(to[some], pa.int64())})
 
-    got = scratch.keep(each.groupBy("i", "j").applyInArrow(lambda t: list(trimmed([compare(t)]))[0], "cid long, links long, to long"))
+    got = scratch.keep(each.groupBy("i", "j").applyInArrow(alone(compare), "cid long, links long, to long"))
     groups = scratch.keep(components(scratch, got.select(F.col("cid").alias("a"), F.col("to").alias("b"))))
     links = scratch.keep(got.groupBy("cid").agg(F.sum("links").alias("links")))
     info = classes.drop("bands").join(links, "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
