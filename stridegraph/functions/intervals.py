@@ -69,6 +69,16 @@ def least(i: Column, j: Column) -> Column:
     return F.when(j["b"] < i["b"], j).otherwise(i)
 
 
+def equal(i: Column, j: Column) -> Column:
+    """Of canonical intervals: the same members."""
+    return i == j
+
+
+def less(i: Column, j: Column) -> Column:
+    """Whether the one begins before the other; the empty one comes last."""
+    return ~is_empty(i) & (is_empty(j) | (i["b"] < j["b"]))
+
+
 def min_elem(i: Column) -> Column:
     return F.when(~is_empty(i), i["b"])
 
@@ -87,10 +97,15 @@ def compacted(i: Column, j: Column) -> Column:
 
 
 def gcd(a: Column, b: Column) -> Column:
-    """By Euclid; a fold over as many steps as 64-bit numbers can need."""
+    """By Euclid; a fold over as many steps as the smaller number can need."""
     start = F.struct(F.abs(whole(a)).alias("x"), F.abs(whole(b)).alias("y"))
     step = lambda v, _: F.when(v["y"] == 0, v).otherwise(F.struct(v["y"].alias("x"), (v["x"] % F.greatest(v["y"], F.lit(1))).alias("y")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step)["x"]
+    return let(start, lambda v: F.aggregate(_steps(F.least(v["x"], v["y"])), v, step)["x"])
+
+
+def _steps(n: Column) -> Column:
+    """As many entries as Euclid's method needs with n as its smaller number: 3/2 for each of its bits, and two."""
+    return F.sequence(F.lit(1), F.floor(F.length(F.bin(n)) * 1.5).cast("int") + 2)
 
 
 def lcm(a: Column, b: Column) -> Column:
@@ -105,7 +120,7 @@ def inverse_mod(a: Column, n: Column) -> Column:
         k = F.call_function("div", v["r"], F.greatest(v["q"], F.lit(1)))
         return F.when(v["q"] == 0, v).otherwise(F.struct(v["q"].alias("r"), (v["r"] - k * v["q"]).alias("q"), v["u"].alias("t"), (v["t"] - k * v["u"]).alias("u")))
 
-    return F.pmod(F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step)["t"], n)
+    return let(start, lambda v: F.pmod(F.aggregate(_steps(v["q"]), v, step)["t"], n))
 
 
 def intersection(i: Column, j: Column) -> Column:
@@ -166,6 +181,15 @@ def product_least(a: Column, b: Column) -> Column:
     return F.when(product_min(b) < product_min(a), b).otherwise(a)
 
 
+def product_equal(a: Column, b: Column) -> Column:
+    return a == b
+
+
+def product_less(a: Column, b: Column) -> Column:
+    """By the least elements, dimension by dimension; the empty product comes last."""
+    return (F.size(a) > 0) & ((F.size(b) == 0) | (product_min(a) < product_min(b)))
+
+
 def product_is_member(x: Column, dims: Column) -> Column:
     return (F.size(dims) > 0) & F.forall(F.zip_with(x, dims, is_member), lambda v: v)
 

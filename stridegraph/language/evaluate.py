@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 
 from stridegraph.functions import intervals as iv
 from stridegraph.functions import linear as ln
-from stridegraph.language.parse import parse
+from stridegraph.language.parse import Parser
 from stridegraph.operators import graphs, maps, sets
 from stridegraph.operators.graphs import Graph
 from stridegraph.plans import algorithms as alg
 from stridegraph.sources.scratch import Scratch
+from stridegraph.sources.tables import as_json
 
 
 @dataclass(frozen=True)
@@ -41,16 +43,36 @@ class Line:
         return slope + ("" if not self.h else f"{'+' if self.h > 0 else ''}{self.h}")
 
 
+@dataclass(frozen=True)
+class Lines:
+    """One line a dimension."""
+
+    parts: tuple[Line, ...]
+
+    def __str__(self) -> str:
+        return "|".join(map(str, self.parts))
+
+
 class Evaluator:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.names, self.scratch = spark, {}, Scratch(spark, "program")
+        #: Documents of JSON (DataFrames of one row), one for each chain of matching, components and sorting.
+        self.documents: list[DataFrame] = []
 
     def run(self, text: str) -> list:
         """The values of a program's expressions."""
-        statements, expressions = parse(text)
+        return [v for _, v, _ in self.steps(text)]
+
+    def steps(self, text: str):
+        """(expression, value, seconds) one by one."""
+        parser = Parser(text)
+        statements, expressions = parser.program()
         for name, e in statements:
             self.names[name] = self.of(e)
-        return [self.of(e) for e in expressions]
+        for source, e in zip(parser.sources, expressions):
+            began = time.perf_counter()
+            value = self.of(e)
+            yield source, value, time.perf_counter() - began
 
     def of(self, e):
         return getattr(self, f"_{e[0]}")(*e[1:])
@@ -68,6 +90,9 @@ class Evaluator:
     def _tuple(self, parts):
         return tuple(self.of(p) for p in parts)
 
+    def _lines(self, parts):
+        return Lines(tuple(self.as_line(self.of(p)) for p in parts))
+
     def _parts(self, parts):
         return [self.of(p) for p in parts]
 
@@ -117,6 +142,10 @@ class Evaluator:
 
     def _op(self, op, left, right):
         a, b = self.of(left), self.of(right)
+        if isinstance(a, Lines):
+            if op == "==":
+                return int(a == b)
+            return Lines(tuple({"+": lambda x, y: Line(x.m + y.m, x.h + y.h), "-": lambda x, y: Line(x.m - y.m, x.h - y.h)}[op](x, y) for x, y in zip(a.parts, b.parts, strict=True)))
         if isinstance(a, Line) or isinstance(b, Line):
             a, b = self.as_line(a), self.as_line(b)
             if op == "*" and not (a.m and b.m):
@@ -128,11 +157,11 @@ class Evaluator:
             return int(got) if isinstance(got, Fraction) and got.denominator == 1 else got
         if isinstance(a, MapValue):
             if op == "==":
-                return int(maps.equal(maps.expand(a.df), maps.expand(b.df)).first()[0])
+                return int(maps.equal_pieces(a.df, b.df).first()[0])
             if op == "+":
                 return MapValue(self.kept(maps.add(a.df, b.df)))
             if op == "-":
-                return MapValue(self.kept(maps.compress(maps.minus(maps.expand(a.df), maps.expand(b.df)))))
+                return MapValue(self.kept(maps.minus_of(a.df, b.df)))
         x, y = self.as_set(a), self.as_set(b)
         if op in ("==", "!="):
             return int(sets.equal(x, y).first()[0] == (op == "=="))
@@ -173,9 +202,13 @@ class Evaluator:
     def call_compose(self, f, g):
         if isinstance(f, Line):
             return Line(f.m * g.m, f.m * g.h + f.h)
+        if isinstance(f, Lines):
+            return Lines(tuple(self.call_compose(x, y) for x, y in zip(f.parts, g.parts, strict=True)))
         return MapValue(self.kept(maps.compose(f.df, g.df)))
 
     def call_inv(self, f):
+        if isinstance(f, Lines):
+            return Lines(tuple(map(self.call_inv, f.parts)))
         if not f.m:
             raise ValueError("a constant has no inverse")
         return Line(1 / f.m, -f.h / f.m)
@@ -192,55 +225,78 @@ class Evaluator:
     def call_combine(self, f, g):
         return MapValue(self.kept(maps.combine(f.df, g.df)))
 
+    def elements(self, f: MapValue) -> DataFrame:
+        return maps.expand(f.df, maps.arity(f.df))
+
     def _scalar(self, df):
         return MapValue(self.kept(maps.compress(self.kept(df))))
 
-    def call_firstInv(self, f):
-        return self._scalar(maps.first_inverse(maps.expand(f.df)))
+    def call_firstInv(self, f, allowed=None):
+        if allowed is not None:
+            f = MapValue(self.kept(maps.restrict(f.df, self.as_set(allowed))))
+        return self._scalar(maps.first_inverse(self.elements(f)))
 
     def call_minMap(self, f, g):
-        return self._scalar(maps.min_map(maps.expand(f.df), maps.expand(g.df)))
+        return MapValue(self.kept(maps.min_of(f.df, g.df)))
 
     def call_reduce(self, f):
         return MapValue(self.kept(maps.reduce(f.df)))
 
     def call_minAdj(self, f, g):
-        return self._scalar(maps.min_adjacent(maps.expand(f.df), maps.expand(g.df)))
+        return self._scalar(maps.min_adjacent(self.elements(f), self.elements(g)))
 
     def call_mapInf(self, f):
-        return self._scalar(maps.map_infinite(maps.expand(f.df)))
+        return self._scalar(maps.map_infinite(self.elements(f)))
 
-    def _labels(self, df):
-        return self._scalar(df.select(F.col("id").alias("x"), F.col("rep").alias("y")))
+    def _labels(self, df, g: Graph, of: str = "rep", shape: tuple[int, ...] | None = None):
+        shape = g.shape if shape is None else shape
+        spell = lambda c: graphs.coordinates(F.col(c), shape) if shape else F.col(c)
+        return self._scalar(df.select(spell("id").alias("x"), spell(of).alias("y")))
+
+    def _keys(self, df, shape: tuple[int, ...]):
+        if not shape:
+            return SetValue(self.kept(sets.of_keys(df, "id")))
+        point = F.transform(graphs.coordinates(F.col("id"), shape), lambda x: iv.raw(x, F.lit(1), x))
+        return SetValue(self.kept(sets.compacted(self.kept(df.select(point.alias("dims")).distinct()))))
 
     def call_CC(self, g: Graph):
-        return self._labels(alg.connected_components(g))
+        return self._labels(alg.connected_components(g), g)
 
     def call_matching(self, g: Graph, n: int = 1):
         m, full = alg.matching(g.copy(n) if n > 1 else g)
-        return SetValue(self.kept(sets.of_keys(m, "id"))), full
+        return self._keys(m, g.edge_shape), full
 
     def call_scc(self, g: Graph):
-        return self._labels(alg.strong_components(g))
+        return self._labels(alg.strong_components(g), g)
 
     def call_sort(self, g: Graph):
-        return self._scalar(alg.topological_sort(g).select(F.col("id").alias("x"), F.col("pred").alias("y")))
+        return self._labels(alg.topological_sort(g), g, "pred")
 
     def call_matchSCC(self, g: Graph, n: int = 1):
-        return self._labels(alg.match_strong(g.copy(n) if n > 1 else g))
+        return self._labels(alg.match_strong(g.copy(n) if n > 1 else g), g, shape=g.edge_shape)
 
     def call_matchSCCTS(self, g: Graph, n: int = 1):
+        """The order of the components, as a map; the matching, the components and the order go to documents as JSON."""
         got = alg.match_strong_sort(g.copy(n) if n > 1 else g)
-        return self._scalar(got["sort"].select(F.col("id").alias("x"), F.col("pred").alias("y")))
+        order, rep = (self._labels(got[k], g, c, g.edge_shape) for k, c in (("sort", "pred"), ("scc", "rep")))
+        self.documents.append(self.kept(as_json(self._keys(got["matching"], g.edge_shape).df, rep.df, order.df)))
+        return order
 
     def call_cut(self, g: Graph):
-        return SetValue(self.kept(sets.of_keys(alg.cut_set(g), "id")))
+        return self._keys(alg.cut_set(g), g.shape)
+
+
+#: Most pieces of a value that is rendered as text.
+SHOWN = 100_000
 
 
 def rendered(v) -> str:
-    """A value as text; sets and maps list their pieces in order. Meant for results of few pieces."""
+    """A value as text; sets and maps list their pieces in order. Fails beyond SHOWN pieces: write those as tables."""
     if isinstance(v, (SetValue, MapValue)):
-        rows = sorted((r.asDict(True) for r in v.df.collect()), key=str)
+        rows = v.df.limit(SHOWN + 1).collect()
+        if len(rows) > SHOWN:
+            raise ValueError(f"over {SHOWN} pieces to render")
+        rows = sorted((r.asDict(True) for r in rows), key=str)
         spell = lambda r: "x".join(f"[{i['b']}:{i['e']}]" if i["s"] == 1 else f"[{i['b']}:{i['s']}:{i['e']}]" for i in r["dims"])
         if isinstance(v, SetValue):
             return "{" + ", ".join(sorted(map(spell, rows))) + "}"
@@ -258,3 +314,20 @@ def rendered(v) -> str:
 def run(spark: SparkSession, text: str) -> list[str]:
     """The rendered values of a program's expressions."""
     return [rendered(v) for v in Evaluator(spark).run(text)]
+
+
+def run_file(spark: SparkSession, path: str, log: str | None = None) -> list[str]:
+    """Runs a program file, from wherever Spark reads: a line `expression --> value` for each expression.
+
+    log: a folder that gets these lines with their seconds, and the documents of JSON, as text.
+    """
+    text = spark.read.text(path, wholetext=True).first()[0]
+    program, lines, times = Evaluator(spark), [], []
+    for source, value, seconds in program.steps(text):
+        lines.append(f"{source} --> {rendered(value)}")
+        times.append(f"{lines[-1]} ({seconds * 1e6:.0f} us)")
+    if log:
+        spark.createDataFrame([(x,) for x in times], "line string").coalesce(1).write.mode("append").text(f"{log}/log")
+        for d in program.documents:
+            d.write.mode("append").text(f"{log}/json")
+    return lines

@@ -2,12 +2,14 @@
 
 By pieces: a DataFrame (map_id, dims, exp), each row sending the product dims through the linear
 expressions exp, dimension by dimension. By elements: a DataFrame (x, y), with map_id where the order
-of maps counts. Pieces are met by a range join: intervals are dealt to buckets as wide as they are on
-average, joined on the bucket, and a pair counts in the bucket where its overlap begins.
+of maps counts; in more than one dimension x and y are arrays. Pieces are met by a range join
+(sets.overlapping).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,20 +23,6 @@ from stridegraph.sources.scratch import Scratch
 # by pieces
 
 
-def overlapping(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
-    """Pairs of rows whose products meet in the first dimension; names must differ between a and b."""
-    span = lambda c: F.col(c)[0]
-    got = a.agg(F.avg(span(left)["e"] - span(left)["b"] + 1), F.count(F.lit(1))).first()
-    more = b.agg(F.avg(span(right)["e"] - span(right)["b"] + 1), F.count(F.lit(1))).first()
-    rows = (got[1] or 0) + (more[1] or 0)
-    mean = ((got[0] or 0) * got[1] + (more[0] or 0) * more[1]) / max(1, rows)
-    width = max(1, int(mean))  # so there are about twice as many bucket rows as rows
-    deal = lambda df, c, to: df.withColumn(to, F.explode(F.sequence(iv.div(span(c)["b"], F.lit(width)), iv.div(span(c)["e"], F.lit(width)))))
-    pairs = deal(a, left, "_p").join(deal(b, right, "_q"), F.col("_p") == F.col("_q"))
-    begin = F.greatest(span(left)["b"], span(right)["b"])
-    return pairs.where((begin <= F.least(span(left)["e"], span(right)["e"])) & (iv.div(begin, F.lit(width)) == F.col("_p"))).drop("_p", "_q")
-
-
 def identity(s: DataFrame) -> DataFrame:
     return s.select(F.lit(0).alias("map_id"), "dims", F.transform("dims", lambda _: ln.identity()).alias("exp"))
 
@@ -50,7 +38,7 @@ def piece_image(f: DataFrame) -> DataFrame:
 
 
 def restrict(f: DataFrame, s: DataFrame) -> DataFrame:
-    pairs = overlapping(f, s.select(F.col("dims").alias("other")), "dims", "other")
+    pairs = sets.overlapping(f, s.select(F.col("dims").alias("other")), "dims", "other")
     return pairs.withColumn("dims", iv.product_intersection(F.col("dims"), F.col("other"))).where("size(dims) > 0").drop("other")
 
 
@@ -74,7 +62,7 @@ def _back(exp: Column, dims: Column, target: Column) -> Column:
 def pre_image(f: DataFrame, s: DataFrame | None = None) -> DataFrame:
     if s is None:
         return domain(f)
-    pairs = overlapping(piece_image(f), s.select(F.col("dims").alias("other")), "img", "other")
+    pairs = sets.overlapping(piece_image(f), s.select(F.col("dims").alias("other")), "img", "other")
     pairs = pairs.withColumn("hit", iv.product_intersection(F.col("img"), F.col("other"))).where("size(hit) > 0")
     return pairs.select(_back(F.col("exp"), F.col("dims"), F.col("hit")).alias("dims")).where("size(dims) > 0")
 
@@ -83,7 +71,7 @@ def compose(f: DataFrame, g: DataFrame) -> DataFrame:
     """f after g."""
     inner = piece_image(g).select("map_id", F.col("dims").alias("gd"), F.col("exp").alias("ge"), "img")
     outer = f.select(F.col("map_id").alias("fm"), F.col("dims").alias("fd"), F.col("exp").alias("fe"))
-    pairs = overlapping(inner, outer, "img", "fd").withColumn("hit", iv.product_intersection(F.col("img"), F.col("fd"))).where("size(hit) > 0")
+    pairs = sets.overlapping(inner, outer, "img", "fd").withColumn("hit", iv.product_intersection(F.col("img"), F.col("fd"))).where("size(hit) > 0")
     return pairs.select("map_id", _back(F.col("ge"), F.col("gd"), F.col("hit")).alias("dims"), ln.product_compose(F.col("fe"), F.col("ge")).alias("exp")).where("size(dims) > 0")
 
 
@@ -105,7 +93,7 @@ def filter_maps(f: DataFrame, keep: Column) -> DataFrame:
 def add(f: DataFrame, g: DataFrame) -> DataFrame:
     """Sum on the common domain, as one expression a piece."""
     other = g.select(F.col("dims").alias("od"), F.col("exp").alias("oe"))
-    pairs = overlapping(f, other, "dims", "od").withColumn("dims", iv.product_intersection(F.col("dims"), F.col("od"))).where("size(dims) > 0")
+    pairs = sets.overlapping(f, other, "dims", "od").withColumn("dims", iv.product_intersection(F.col("dims"), F.col("od"))).where("size(dims) > 0")
     return pairs.select("map_id", "dims", F.zip_with("exp", "oe", ln.ladd).alias("exp"))
 
 
@@ -128,16 +116,119 @@ def inverse(f: DataFrame) -> DataFrame:
     return got.select("map_id", F.col("img").alias("dims"), back.alias("exp"))
 
 
-def compact(f: DataFrame) -> DataFrame:
-    """One-dimensional pieces of equal expression become as few as the expression's domain has runs of one step."""
+def compact(f: DataFrame, stretch: int = sets.STRETCH) -> DataFrame:
+    """One-dimensional pieces of equal expression, step and residue that follow each other become one, within stretches of the line."""
     i = F.col("dims")[0]
-    w = W.partitionBy("exp", "s", "r").orderBy("b")
-    d = f.select("exp", "map_id", i["s"].alias("s"), F.pmod(i["b"], i["s"]).alias("r"), i["b"].alias("b"), i["e"].alias("e"))
+    low, high, n = f.agg(F.min(i["b"]), F.max(i["e"]), F.count(F.lit(1))).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // max(1, n // stretch)))
+    key = ["exp", "s", "r", "part"]
+    w = W.partitionBy(*key).orderBy("b")
+    d = f.select("exp", "map_id", i["s"].alias("s"), F.pmod(i["b"], i["s"]).alias("r"), iv.div(i["b"] - (low or 0), F.lit(width)).alias("part"), i["b"].alias("b"), i["e"].alias("e"))
     d = d.withColumn("run", F.sum(F.when(F.col("b") - F.lag("e").over(w) <= F.col("s"), F.lit(0)).otherwise(F.lit(1))).over(w))
-    d = d.groupBy("exp", "s", "r", "run").agg(F.min("map_id").alias("map_id"), F.min("b").alias("b"), F.max("e").alias("e"))
+    d = d.groupBy(*key, "run").agg(F.min("map_id").alias("map_id"), F.min("b").alias("b"), F.max("e").alias("e"))
     return d.select("map_id", F.array(iv.interval(F.col("b"), F.col("s"), F.col("e"))).alias("dims"), "exp")
 
 
+def offset_domain_by(f: DataFrame, by: DataFrame) -> DataFrame:
+    """Each piece's domain becomes its image under by; the expressions stay as they are. Fails where by is not defined or leaves the integers."""
+    own = f.select("map_id", "dims", "exp", F.monotonically_increasing_id().alias("_piece"))
+    own = Scratch(f.sparkSession, "moved").keep(own)
+    pairs = sets.overlapping(own, by.select(F.col("dims").alias("od"), F.col("exp").alias("oe")), "dims", "od")
+    pairs = pairs.withColumn("hit", iv.product_intersection(F.col("dims"), F.col("od"))).where("size(hit) > 0")
+    return piece_image(pairs.select("map_id", F.col("exp").alias("_exp"), F.col("hit").alias("dims"), F.col("oe").alias("exp"))).select("map_id", F.col("img").alias("dims"), F.col("_exp").alias("exp"))
+
+
+def offset_image_by(f: DataFrame, exp: Column) -> DataFrame:
+    """Adds linear expressions, one a dimension, to those of all pieces."""
+    return f.withColumn("exp", F.zip_with("exp", exp, ln.ladd))
+
+
+# two maps by pieces on their common domain, in any number of dimensions
+
+
+def _common(f: DataFrame, g: DataFrame) -> DataFrame:
+    """Rows (map_id, dims, fe, ge): where pieces of both meet."""
+    pairs = sets.overlapping(f.select("map_id", "dims", F.col("exp").alias("fe")), g.select(F.col("dims").alias("od"), F.col("exp").alias("ge")), "dims", "od")
+    return pairs.withColumn("dims", iv.product_intersection(F.col("dims"), F.col("od"))).where("size(dims) > 0").drop("od")
+
+
+def _parts(i: Column, f: Column, g: Column) -> Column:
+    """Struct (low, high): the parts of an interval on which f <= g and on which f > g."""
+    d = ln.lsub(f, g)
+
+    def cut(v: Column) -> Column:
+        i, m, h = v["i"], v["d"]["m"], v["d"]["h"]
+        # the greatest x with m x + h <= 0 for m > 0; for m < 0 the least x is the ceiling
+        num, den = -h["num"] * m["den"], h["den"] * m["num"]
+        upto = lambda t: iv.interval(i["b"], i["s"], F.least(i["e"], t))
+        after = lambda t: iv.interval(i["b"] + iv.ceil_div(F.greatest(t - i["b"], F.lit(0)), i["s"]) * i["s"], i["s"], i["e"])
+        both = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+        rising = let(iv.div(num, den), lambda t: both(upto(t), after(t + 1)))
+        falling = let(iv.ceil_div(-num, -den), lambda t: both(after(t), upto(t - 1)))
+        level = F.when(h["num"] <= 0, both(i, iv.empty())).otherwise(both(iv.empty(), i))
+        return F.when(m["num"] == 0, level).when(m["num"] > 0, rising).otherwise(falling)
+
+    return let(F.struct(i.alias("i"), d.alias("d")), cut)
+
+
+def _cut(f: DataFrame, g: DataFrame) -> DataFrame:
+    """_common with cut: an array of _parts, one a dimension."""
+    zipped = F.arrays_zip(F.col("dims").alias("i"), F.col("fe").alias("f"), F.col("ge").alias("g"))
+    return _common(f, g).withColumn("cut", F.transform(zipped, lambda v: _parts(v["i"], v["f"], v["g"])))
+
+
+def min_of(f: DataFrame, g: DataFrame) -> DataFrame:
+    """On the common domain f where no coordinate of it is above g's, else g. Cost follows pieces that meet."""
+    d = _cut(f, g)
+    n = F.size("cut")
+    low = F.transform("cut", lambda c: c["low"])
+    # the rest of the box: its first k dimensions low, the next high, the others whole
+    rest = lambda k: F.concat(F.slice(low, F.lit(1), k), F.slice(F.transform("cut", lambda c: c["high"]), k + 1, F.lit(1)), F.slice("dims", k + 2, n))
+    piece = lambda dims, exp: F.struct(iv.product(dims).alias("dims"), exp.alias("exp"))
+    pieces = F.concat(F.array(piece(low, F.col("fe"))), F.transform(F.sequence(F.lit(0), n - 1), lambda k: piece(rest(k), F.col("ge"))))
+    return d.select("map_id", F.inline(pieces)).where("size(dims) > 0")
+
+
+def minus_of(f: DataFrame, g: DataFrame) -> DataFrame:
+    """Truncated difference on the common domain, coordinate by coordinate. Cost follows pieces that meet."""
+    d = _cut(f, g)
+    zero = lambda e: ln.linear(0, 0)
+    n = sets.dimensions(f.select("dims"))
+    d = d.select("map_id", "dims", "cut", F.zip_with("fe", "ge", ln.lsub).alias("diff"), F.array().cast(iv.DIMS).alias("done"), F.array().cast(ln.EXP).alias("exp"))
+    for k in range(n):
+        c, e = F.col("cut")[k], F.col("diff")[k]
+        side = lambda part, exp: F.struct(part.alias("part"), exp.alias("e"))
+        d = d.withColumn("_side", F.explode(F.array(side(c["low"], zero(e)), side(c["high"], e)))).where(~iv.is_empty(F.col("_side.part")))
+        d = d.withColumns({"done": F.concat("done", F.array("_side.part")), "exp": F.concat("exp", F.array("_side.e"))}).drop("_side")
+    return d.select("map_id", F.col("done").alias("dims"), "exp")
+
+
+def equal_image_of(f: DataFrame, g: DataFrame) -> DataFrame:
+    """The set on which both agree: in each dimension all, one point or none of a piece."""
+
+    def agree(v: Column) -> Column:
+        i, d = v["i"], ln.lsub(v["f"], v["g"])
+
+        def where(w: Column) -> Column:
+            m, h = w["m"], w["h"]
+            num, den = -h["num"] * m["den"], h["den"] * m["num"]
+            at = F.call_function("div", num, den)
+            point = F.when((num % den == 0) & iv.is_member(at, i), iv.raw(at, F.lit(1), at)).otherwise(iv.empty())
+            return F.when(m["num"] != 0, point).when(h["num"] == 0, i).otherwise(iv.empty())
+
+        return let(d, where)
+
+    zipped = F.arrays_zip(F.col("dims").alias("i"), F.col("fe").alias("f"), F.col("ge").alias("g"))
+    return _common(f, g).select(iv.product(F.transform(zipped, agree)).alias("dims")).where("size(dims) > 0")
+
+
+def equal_pieces(f: DataFrame, g: DataFrame) -> DataFrame:
+    """One row: equal, as functions, however they are split: same domains, and agreement on all of it."""
+    same = sets.equal(domain(f), domain(g)).select(F.col("equal").alias("p"))
+    on, all_ = sets.cardinal(equal_image_of(f, g)).select(F.col("card").alias("a")), sets.cardinal(domain(f)).select(F.col("card").alias("b"))
+    return same.crossJoin(on).crossJoin(all_).select((F.col("p") & (F.col("a") == F.col("b"))).alias("equal"))  # one row each
+
+
 def reduce(f: DataFrame) -> DataFrame:
     """Closed form of endless iteration of x + h and x - h on one-dimensional pieces.
 
@@ -157,9 +248,15 @@ def reduce(f: DataFrame) -> DataFrame:
     return d.select("map_id", F.when(F.col("split"), F.array(piece)).otherwise(F.col("dims")).alias("dims"), F.when(F.col("split"), F.array(ln.linear(0, ends))).otherwise(F.col("exp")).alias("exp")).where("size(dims) > 0")
 
 
+def arity(f: DataFrame) -> int:
+    """Number of dimensions; 1 of the empty map."""
+    return sets.dimensions(f.select("dims")) or 1
+
+
 def expand(f: DataFrame, n: int = 1) -> DataFrame:
-    """By elements; in one dimension x and y are naturals, else arrays."""
-    d = f
+    """By elements; in one dimension x and y are naturals, else arrays. Fails if pieces have another number of dimensions."""
+    wrong = F.raise_error(F.lit(f"a piece has not {n} dimensions"))
+    d = f.withColumn("dims", F.when(F.size("dims") == n, F.col("dims")).otherwise(wrong))
     for k in range(n):
         d = d.withColumn(f"_x{k}", F.explode(iv.elements(F.col("dims")[k])))
     x = [F.col(f"_x{k}") for k in range(n)]
@@ -168,7 +265,9 @@ def expand(f: DataFrame, n: int = 1) -> DataFrame:
 
 
 def compress(fn: DataFrame, stretch: int = sets.STRETCH) -> DataFrame:
-    """Pieces from elements: runs of neighbours with one slope, found within stretches of the line."""
+    """Pieces from elements: runs of neighbours with one slope, found within stretches of the line; in more dimensions along the last one."""
+    if fn.schema["x"].dataType.typeName() == "array":
+        return _compressed_lines(fn)
     low, high, n = fn.agg(F.min("x"), F.max("x"), F.count(F.lit(1))).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) // max(1, n // stretch)))
     w = W.partitionBy("part").orderBy("x")
@@ -181,6 +280,21 @@ def compress(fn: DataFrame, stretch: int = sets.STRETCH) -> DataFrame:
     return d.select(F.lit(0).alias("map_id"), F.array(iv.interval(F.col("b"), F.lit(1), F.col("e"))).alias("dims"), F.array(ln.linear(m, F.col("y") - m * F.col("b"))).alias("exp"))
 
 
+def _compressed_lines(fn: DataFrame) -> DataFrame:
+    """Elements in several dimensions: runs along the last one in which only its own coordinate changes, by one slope."""
+    n = F.size("x")
+    d = fn.select(F.slice("x", F.lit(1), n - 1).alias("xs"), F.element_at("x", -1).alias("x"), F.slice("y", F.lit(1), n - 1).alias("ys"), F.element_at("y", -1).alias("y"))
+    w = W.partitionBy("xs", "ys").orderBy("x")
+    d = d.withColumn("slope", F.when(F.lead("x").over(w) == F.col("x") + 1, F.lead("y").over(w) - F.col("y")))
+    d = d.withColumn("new", F.when((F.lag("x").over(w) == F.col("x") - 1) & (F.lag("slope").over(w) == F.coalesce("slope", F.lag("slope").over(w))), F.lit(0)).otherwise(F.lit(1)))
+    d = d.withColumn("run", F.sum("new").over(w))
+    d = d.groupBy("xs", "ys", "run").agg(F.min("x").alias("b"), F.max("x").alias("e"), F.min_by("y", "x").alias("y"), F.min_by("slope", "x").alias("m"))
+    m = F.when(F.col("b") == F.col("e"), F.lit(0)).otherwise(F.coalesce("m", F.lit(0)))
+    dims = F.concat(F.transform("xs", lambda x: iv.raw(x, F.lit(1), x)), F.array(iv.interval(F.col("b"), F.lit(1), F.col("e"))))
+    exp = F.concat(F.transform("ys", lambda y: ln.linear(F.lit(0), y)), F.array(ln.linear(m, F.col("y") - m * F.col("b"))))
+    return d.select(F.lit(0).alias("map_id"), dims.alias("dims"), exp.alias("exp"))
+
+
 # by elements: (x, y), and map_id where it counts
 
 
@@ -189,17 +303,26 @@ def at_both(f: DataFrame, g: DataFrame, y: Column) -> DataFrame:
     return f.select("x", F.col("y").alias("f")).join(g.select("x", F.col("y").alias("g")), "x").select("x", y.alias("y"))
 
 
+def _each(f: DataFrame, one: Callable[[Column, Column], Column]) -> Column:
+    """one over f and g, or over each coordinate."""
+    a, b = F.col("f"), F.col("g")
+    return F.zip_with(a, b, one) if f.schema["y"].dataType.typeName() == "array" else one(a, b)
+
+
 def min_map(f: DataFrame, g: DataFrame) -> DataFrame:
-    return at_both(f, g, F.least("f", "g"))
+    """f where no coordinate of it is above g's, else g."""
+    if f.schema["y"].dataType.typeName() != "array":
+        return at_both(f, g, F.least("f", "g"))
+    return at_both(f, g, F.when(F.forall(F.zip_with("f", "g", lambda a, b: a <= b), lambda v: v), F.col("f")).otherwise(F.col("g")))
 
 
 def plus(f: DataFrame, g: DataFrame) -> DataFrame:
-    return at_both(f, g, F.col("f") + F.col("g"))
+    return at_both(f, g, _each(f, lambda a, b: a + b))
 
 
 def minus(f: DataFrame, g: DataFrame) -> DataFrame:
-    """Truncated difference."""
-    return at_both(f, g, F.greatest(F.col("f") - F.col("g"), F.lit(0)))
+    """Truncated difference, coordinate by coordinate."""
+    return at_both(f, g, _each(f, lambda a, b: F.greatest(a - b, F.lit(0))))
 
 
 def equal_image(f: DataFrame, g: DataFrame) -> DataFrame:
@@ -208,7 +331,7 @@ def equal_image(f: DataFrame, g: DataFrame) -> DataFrame:
 
 
 def min_adjacent(f: DataFrame, g: DataFrame) -> DataFrame:
-    """For each y = f(x), the least g(x)."""
+    """For each y = f(x), the least g(x); in more dimensions the first in lexicographic order."""
     return f.select("x", F.col("y").alias("to")).join(g.select("x", "y"), "x").groupBy("to").agg(F.min("y").alias("y")).withColumnRenamed("to", "x")
 
 
@@ -241,7 +364,7 @@ def map_infinite(f: DataFrame, times: int | None = None) -> DataFrame:
     times: compose so often instead. Fails if an orbit does not settle.
     """
     scratch = Scratch(f.sparkSession, "orbits")
-    f = scratch.keep(f.select("x", "y"))
+    once = f = scratch.keep(f.select("x", "y"))
     if times is not None:
         out = f
         for _ in range(times):
@@ -250,7 +373,10 @@ def map_infinite(f: DataFrame, times: int | None = None) -> DataFrame:
     for _ in range(max(1, f.count()).bit_length() + 1):
         new = scratch.keep(compose_elements(f, f))
         if new.count() == f.count() and new.join(f, ["x", "y"], "left_anti").isEmpty():
-            return new
+            # a cycle whose length divides a power of two comes back, too; what is settled does not move by one more step
+            if compose_elements(once, new).join(new, ["x", "y"], "left_anti").isEmpty():
+                return new
+            break
         f = new
     raise ValueError("an orbit does not settle")
 

@@ -1,7 +1,7 @@
 """Sets of naturals, or of tuples of them, as tables of pieces: one row per product of stepped intervals.
 
 A set is a DataFrame with a column dims (array of struct<b,s,e>); pieces are disjoint. Costs follow
-the number of pieces, not of elements. One-dimensional algebra is a sweep: pieces are split into
+the number of pieces, not of elements. Intersections join pieces that meet. Other one-dimensional algebra is a sweep: pieces are split into
 residue classes of the steps' least common multiple, in which they are contiguous, and running sums
 over their ends tell what each side covers. The line is cut in stretches of about STRETCH ends, and
 what a stretch starts with is summed up over stretches, so that no task holds a whole line. More
@@ -23,8 +23,6 @@ from stridegraph.functions.intervals import DIMS
 
 #: Interval ends per stretch of the line.
 STRETCH = 100_000
-#: Largest least common multiple of steps by which pieces are split.
-MOST_CLASSES = 1 << 20
 
 
 def pieces(spark: SparkSession, rows: Iterable) -> DataFrame:
@@ -102,13 +100,26 @@ def concatenation(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def measured(df: DataFrame) -> tuple[list[int], int, int, int]:
-    """In one pass: least common multiple of the steps in each dimension, least and greatest member in the first, and number of pieces."""
-    i = F.col("dims")[0]
-    got = df.where("size(dims) > 0").agg(F.collect_set(F.transform("dims", lambda d: d["s"])), F.min(i["b"]), F.max(i["e"]), F.count(F.lit(1))).first()
-    ls = [math.lcm(*own) for own in zip(*got[0])]
-    if any(l > MOST_CLASSES for l in ls):
-        raise ValueError(f"steps have the least common multiples {ls}; split the set, or compare its elements")
-    return ls, got[1] or 0, got[2] or 0, got[3]
+    """In one pass: by what each dimension is split, least and greatest member in the first, and number of pieces.
+
+    A dimension is split by residues of the least common multiple of its steps, or, where that is beyond
+    the greatest member, by members: a piece never has more classes than members.
+    """
+    n = dimensions(df)
+    if not n:
+        return [], 0, 0, 0
+    own = [F.col("dims")[k] for k in range(n)]
+    step = lambda k: F.collect_set(own[k]["s"])
+    got = df.where("size(dims) > 0").agg(F.struct(*[step(k) for k in range(n)]), F.struct(*[F.max(i["e"]) for i in own]), F.min(own[0]["b"]), F.count(F.lit(1))).first()
+    ls = []
+    for steps, top in zip(got[0], got[1]):
+        l = 1
+        for x in steps:
+            l = min(math.lcm(l, x), top + 1)
+            if l > top:
+                break
+        ls.append(max(1, l))
+    return ls, got[2], got[1][0], got[3]
 
 
 def _classes(side: DataFrame, k: int, l: int) -> DataFrame:
@@ -194,8 +205,34 @@ def _algebra(a: DataFrame, b: DataFrame, keep: Column, how: str, stretch: int) -
     return out.select(F.array(*[_rebuilt(k, l) for k, l in enumerate(ls)]).alias("dims"))
 
 
-def intersection(a: DataFrame, b: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    return _algebra(a, b, (F.col("a") > 0) & (F.col("b") > 0), "left_semi", stretch)
+def overlapping(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
+    """Pairs of rows whose products meet in the first dimension; names must differ between a and b.
+
+    Each length of interval, by powers of two, has buckets as wide; a pair of lengths meets in the
+    buckets of the longer, of which an interval is in two at most. So a few long pieces do not put
+    all short ones into one bucket. Both sides are written first.
+    """
+    scratch = Scratch(a.sparkSession, "overlap")
+    span = lambda c: F.col(c)[0]
+    size = lambda c: F.length(F.bin(span(c)["e"] - span(c)["b"]))
+    a, b = scratch.keep(a.where(F.size(left) > 0).withColumn("_p", size(left))), scratch.keep(b.where(F.size(right) > 0).withColumn("_q", size(right)))
+    lengths = [[r[0] for r in d.select(c).distinct().collect()] for d, c in ((a, "_p"), (b, "_q"))]  # at most 64 each
+
+    def deal(df: DataFrame, c: str, own: str, other: str, met: list[int]) -> DataFrame:
+        df = df.withColumn(other, F.explode(F.array(*[F.lit(x) for x in met]).cast("array<int>")))
+        width = F.expr(f"shiftleft(1L, greatest({own}, {other}))")
+        return df.withColumn("_at", F.explode(F.sequence(iv.div(span(c)["b"], width), iv.div(span(c)["e"], width))))
+
+    pairs = deal(a, left, "_p", "_q", lengths[1]).join(deal(b, right, "_q", "_p", lengths[0]), ["_p", "_q", "_at"])
+    begin = F.greatest(span(left)["b"], span(right)["b"])
+    here = iv.div(begin, F.expr("shiftleft(1L, greatest(_p, _q))")) == F.col("_at")
+    return pairs.where((begin <= F.least(span(left)["e"], span(right)["e"])) & here).drop("_p", "_q", "_at")
+
+
+def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Of pieces that meet, by the Chinese remainder theorem in each dimension; cost follows such pairs, whatever the steps."""
+    pairs = overlapping(a.select("dims"), b.select(F.col("dims").alias("other")), "dims", "other")
+    return pairs.select(iv.product_intersection(F.col("dims"), F.col("other")).alias("dims")).where("size(dims) > 0")
 
 
 def union(a: DataFrame, b: DataFrame, stretch: int = STRETCH) -> DataFrame:
@@ -229,7 +266,7 @@ def less(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.crossJoin(y).select(F.when(F.col("p").isNull(), F.lit(False)).when(F.col("q").isNull(), F.lit(True)).otherwise(F.col("p") < F.col("q")).alias("less"))  # one row each
 
 
-def compacted(df: DataFrame, rounds: int = 64) -> DataFrame:
+def compacted(df: DataFrame) -> DataFrame:
     """Fewer pieces with the same elements: neighbours in one dimension that agree in all others become one, until none do.
 
     In one dimension this is the sweep; a step other than 1 comes back where all residues share it.
@@ -237,7 +274,9 @@ def compacted(df: DataFrame, rounds: int = 64) -> DataFrame:
     n = dimensions(df)
     if n <= 1:
         return disjoint(df)
-    for _ in range(rounds):
+    scratch = Scratch(df.sparkSession, "compact")
+    df = scratch.keep(df.select("dims"))
+    while True:  # each round but the last has fewer pieces
         before = df.count()
         for k in range(n):
             rest = [F.col("dims")[j] for j in range(n) if j != k]
@@ -248,6 +287,6 @@ def compacted(df: DataFrame, rounds: int = 64) -> DataFrame:
             d = d.groupBy("rest", "s", "r", "run").agg(F.min("b").alias("b"), F.max("e").alias("e"))
             joined = [iv.interval(F.col("b"), F.col("s"), F.col("e")) if j == k else F.col("rest")[j - (j > k)] for j in range(n)]
             df = d.select(F.array(*joined).alias("dims"))
+        df = scratch.keep(df)
         if df.count() == before:
-            break
-    return df
+            return df

@@ -6,6 +6,8 @@ costs one round. Outputs are tables (id, rep) or the like.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 from stridegraph.operators.graphs import Graph, graph
 from stridegraph.sources.scratch import Scratch
 
-#: Most rounds of a loop; a loop that needs more fails rather than goes on.
-ROUNDS = 10_000
+#: Rounds after which a loop that should have ended fails; more than any graph of this many vertices needs.
+ROUNDS = 2**40
 
 
 def _changed(new: DataFrame, old: DataFrame, on: str = "id") -> bool:
@@ -108,18 +110,30 @@ def condensation(g: Graph, rep: DataFrame) -> Graph:
 def levels(g: Graph) -> DataFrame:
     """(id, level): 0 for vertices without outgoing edges, else one more than the highest of those that its edges lead to. Fails on a cycle."""
     scratch = Scratch(g.vertices.sparkSession, "levels")
-    left, e, out, k = scratch.keep(g.vertices.select("id")), scratch.keep(g.edges.select("src", "dst").distinct()), None, 0
+    left, e, k = scratch.keep(g.vertices.select("id")), scratch.keep(g.edges.select("src", "dst").distinct()), 0
+    none = left.select("id", F.lit(0).cast("bigint").alias("level"))
+    scratch.append("levels", none.limit(0))
     n = left.count()
     while n:
         now = scratch.keep(left.join(e.select(F.col("src").alias("id")), "id", "left_anti").select("id", F.lit(k).cast("bigint").alias("level")))
         peeled = now.count()
         if not peeled:
             raise ValueError("the graph has a cycle")
-        out = now if out is None else out.unionByName(now)
+        scratch.append("levels", now)
         left = scratch.keep(left.join(now.select("id"), "id", "left_anti"))
         e = scratch.keep(e.join(now.select(F.col("id").alias("dst")), "dst", "left_anti"))
         n, k = n - peeled, k + 1
-    return out if out is not None else g.vertices.select("id", F.lit(0).cast("bigint").alias("level")).limit(0)
+    return scratch.read("levels", none.schema)
+
+
+def partitioned(g: Graph) -> Graph:
+    """Set-vertices split by the set-edges that leave and reach their vertices; a part is named by its least vertex."""
+    ends = g.edges.select("se", F.explode(F.array(F.struct(F.lit("src").alias("side"), F.col("src").alias("id")), F.struct(F.lit("dst").alias("side"), F.col("dst").alias("id")))).alias("at"))
+    own = ends.groupBy("at.id").agg(F.sort_array(F.collect_set(F.struct("at.side", "se"))).alias("kinds"))
+    v = g.vertices.join(own, "id", "left")
+    names = v.groupBy("sv", "kinds").agg(F.min("id").alias("part"))
+    parts = v.join(names, v.sv.eqNullSafe(names.sv) & v.kinds.eqNullSafe(names.kinds)).select("id", F.col("part").alias("sv"))
+    return replace(g, vertices=parts)
 
 
 def topological_sort(g: Graph) -> DataFrame:

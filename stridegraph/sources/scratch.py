@@ -56,5 +56,12 @@ class Scratch:
         df.write.parquet(path, compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def append(self, name: str, df: DataFrame) -> None:
+        """More rows for a table that read() reads as one."""
+        df.write.mode("append").parquet(f"{self.root}/{name}")
+
+    def read(self, name: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
     def release(self) -> None:
         _drop(self.root)

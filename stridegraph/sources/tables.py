@@ -81,6 +81,19 @@ def part_tree(spark: SparkSession, sf_dir: str) -> Graph:
     return graph(p.select(F.col("k").alias("id")), p.where("k > 0").select(F.col("k").alias("id"), F.col("k").alias("src"), F.expr("k div 2").alias("dst")), True)
 
 
+def grid_maps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two maps by pieces in two dimensions: a box a supplier, in f with steps, in g without; slopes and offsets by key."""
+    k, one = F.col("k"), F.lit(1)
+    s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    f = s.select((k % 4).cast("int").alias("map_id"), F.array(iv.interval(6 * k, 1 + k % 2, 6 * k + 4), iv.interval(k % 5, one, k % 5 + 3)).alias("dims"), F.array(ln.linear(k % 3, k % 7 + 3), ln.linear(F.lit(1), k % 4)).alias("exp"))
+    g = s.select(F.lit(0).alias("map_id"), F.array(iv.interval(6 * k + 1, one, 6 * k + 5), iv.interval(k % 3, F.lit(2), k % 3 + 6)).alias("dims"), F.array(ln.linear(F.lit(1), k % 5), ln.linear(k % 2, F.lit(4))).alias("exp"))
+    return f, g
+
+
+GRID_MAPS = """with f as (select k % 4 as map_id, x0, x1, (k % 3) * x0 + k % 7 + 3 as y0, x1 + k % 4 as y1 from (select s_suppkey as k from supplier), range(5) t(i), range(4) u(j), lateral (select 6 * k + i as x0, k % 5 + j as x1) where i % (1 + k % 2) = 0),
+g as (select x0, x1, x0 + k % 5 as y0, (k % 2) * x1 + 4 as y1 from (select s_suppkey as k from supplier), range(5) t(i), range(4) u(j), lateral (select 6 * k + 1 + i as x0, k % 3 + 2 * j as x1))"""
+
+
 def equation_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Bipartite: right vertex k (a supplier) to left vertices 10**6 + k and 10**6 + k + 1 (modulo n); every right vertex can be matched."""
     s = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
@@ -90,8 +103,15 @@ def equation_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return graph(s.select(F.col("k").alias("id")).unionByName(s.select((F.col("k") + 1_000_000).alias("id"))), e)
 
 
+#: Most pieces of a set or map in one document of JSON.
+JSON_PIECES = 100_000
+
+
 def as_json(matching: DataFrame | None, scc: DataFrame | None, sort: DataFrame | None) -> DataFrame:
-    """One row: json, with arrays of matched intervals [[b, s, e], ...] and of maps {dom, exp: [[m, h], ...]}; for results of bounded size in pieces."""
+    """One row: json, with arrays of matched intervals [[b, s, e], ...] and of maps {dom, exp: [[m, h], ...]}. Fails beyond JSON_PIECES pieces, as one row holds all."""
+    for df in (matching, scc, sort):
+        if df is not None and df.limit(JSON_PIECES + 1).count() > JSON_PIECES:
+            raise ValueError(f"over {JSON_PIECES} pieces in a document of JSON")
 
     def interval_lists(df: DataFrame) -> DataFrame:
         return df.select(F.transform("dims", lambda i: F.array(i["b"], i["s"], i["e"])).alias("interval"))
