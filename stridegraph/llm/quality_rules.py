@@ -85,12 +85,12 @@ def statistics(docs: DataFrame) -> DataFrame:
         at = [x.bitwiseAND(F.col("low")).cast("int") for x in (a, b)]
         return (a.bitwiseAND(F.bitwise_not("low")) == b.bitwiseAND(F.bitwise_not("low"))) & (word(at[0]) == word(at[1])) & (word(at[0] + 1) == word(at[1] + 1)) & (word(at[0] + 2) == word(at[1] + 2))
 
-    # of windows with equal bits neighbours may differ and hide an equal one: where that is so, all of them are looked through
-    bits = lambda a, b: F.coalesce(a.bitwiseAND(F.bitwise_not("low")) == b.bitwiseAND(F.bitwise_not("low")), F.lit(False))
-    near = lambda k: (F.get(F.col("s"), k - 1), F.get(F.col("s"), k + 1))
-    beside = lambda x, k: F.coalesce(same(x, near(k)[0]), F.lit(False)) | F.coalesce(same(x, near(k)[1]), F.lit(False))
-    hidden = lambda x, k: (bits(x, near(k)[0]) | bits(x, near(k)[1])) & F.exists("s", lambda y: (x != y) & F.coalesce(same(x, y), F.lit(False)))
-    twice = F.filter("s", lambda x, k: beside(x, k) | hidden(x, k))
+    # windows with equal bits, which are few, stand side by side; those of them that differ may hide an equal one, so all are looked through
+    upper = lambda x: x.bitwiseAND(F.bitwise_not("low"))
+    at = lambda c, k: F.get(F.col(c), k)
+    d = d.withColumn("s", F.filter("s", lambda x, k: F.coalesce(upper(x) == upper(at("s", k - 1)), F.lit(False)) | F.coalesce(upper(x) == upper(at("s", k + 1)), F.lit(False))))
+    beside = lambda x, k: F.coalesce(same(x, at("s", k - 1)), F.lit(False)) | F.coalesce(same(x, at("s", k + 1)), F.lit(False))
+    twice = F.filter("s", lambda x, k: beside(x, k) | F.exists("s", lambda y: (x != y) & F.coalesce(same(x, y), F.lit(False))))
     d = d.withColumn("r", twice).drop("s").withColumn("r", F.sort_array(F.transform("r", lambda x: x.bitwiseAND(F.col("low"))))).drop("w", "low")
     step = F.transform("r", lambda x, k: F.least(F.lit(3).cast("long"), F.coalesce(F.get(F.col("r"), k + 1) - x, F.lit(3).cast("long"))))
     d = d.withColumn("n_repeat_words", F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)).drop("r")
