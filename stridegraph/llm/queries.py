@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stridegraph.llm import classifier, fingerprints, html_extract, lm, mixing, ngram_join, packing, pii, quality_rules, suffix_dedup
+from stridegraph.llm import base_queries, classifier, fingerprints, html_extract, lm, mixing, ngram_join, packing, pii, quality_rules, suffix_dedup
 from stridegraph.llm.common import table
 
 
@@ -47,5 +47,5 @@ def op10_fingerprints(spark, sf_dir):
     return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_best_fit_packing, op4_mix_sources, op5_suffix_dedup, op6_quality_classifier, op7_html_extract, op8_lm_scores, op9_pii, op10_fingerprints)}
-ORACLES: dict[str, str] = {"op4_mix_sources": mixing.MIX_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_ngram_join, op3_best_fit_packing, op4_mix_sources, op5_suffix_dedup, op6_quality_classifier, op7_html_extract, op8_lm_scores, op9_pii, op10_fingerprints)} | base_queries.QUERIES
+ORACLES: dict[str, str] = {"op4_mix_sources": mixing.MIX_SQL} | base_queries.ORACLES
