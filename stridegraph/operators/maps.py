@@ -229,6 +229,53 @@ def equal_pieces(f: DataFrame, g: DataFrame) -> DataFrame:
     return same.crossJoin(on).crossJoin(all_).select((F.col("p") & (F.col("a") == F.col("b"))).alias("equal"))  # one row each
 
 
+# many pieces of one dimension that may overlap
+
+
+def _first(p: DataFrame) -> DataFrame:
+    """Rows (rank, dims, exp), each only where no other precedes it: one of a lower rank, or of the same rank and a lower value.
+
+    A piece loses to another on one stepped interval at most, so cost follows pairs that meet. What is left
+    of each is a set difference with the piece's number as a dimension of its own.
+    """
+    scratch = Scratch(p.sparkSession, "first")
+    p = scratch.keep(p.select("rank", "dims", "exp", F.monotonically_increasing_id().alias("piece")))
+    other = p.select(F.col("rank").alias("orank"), F.col("dims").alias("od"), F.col("exp").alias("oe"), F.col("piece").alias("other"))
+    pairs = sets.overlapping(p, other, "dims", "od").where("piece <> other and rank >= orank")
+    pairs = pairs.withColumn("hit", iv.product_intersection(F.col("dims"), F.col("od"))).where("size(hit) > 0")
+    # where both have one value, the one of the lower number stays
+    before = F.col("other") < F.col("piece")
+    own, its = F.col("exp")[0], F.col("oe")[0]
+    parts = _parts(F.col("hit")[0], F.when(before, its).otherwise(own), F.when(before, own).otherwise(its))
+    beaten = F.when(F.col("orank") < F.col("rank"), F.col("hit")[0]).otherwise(let(parts, lambda c: F.when(before, c["low"]).otherwise(c["high"])))
+    point = iv.raw(F.col("piece"), F.lit(1), F.col("piece"))
+    lost = pairs.select(iv.product(F.array(point, beaten)).alias("dims")).where("size(dims) > 0")
+    won = sets.difference(p.select(F.concat(F.array(point), F.col("dims")).alias("dims")), lost)
+    won = won.select(F.col("dims")[0]["b"].alias("piece"), F.slice("dims", 2, 1).alias("dims"))
+    return won.join(p.select("piece", F.col("rank").alias("map_id"), "exp"), "piece").select("map_id", "dims", "exp")
+
+
+def _line_only(f: DataFrame) -> None:
+    if arity(f) != 1:
+        raise ValueError("by pieces in one dimension only; use the form by elements")
+
+
+def min_adjacent_of(f: DataFrame, g: DataFrame) -> DataFrame:
+    """For each y = f(x) the least g(x), in one dimension. Cost follows pieces that meet."""
+    _line_only(f)
+    d = piece_image(_common(f, g).withColumnRenamed("fe", "exp"))
+    i, fe, ge = F.col("dims")[0], F.col("exp")[0], F.col("ge")[0]
+    ends = ln.linear(F.lit(0), F.least(ln.at(ge, i["b"]), ln.at(ge, i["e"])))
+    back = F.when(ln.is_constant(fe), ends).otherwise(ln.lcompose(ge, ln.linverse(fe)))
+    return _first(d.select(F.lit(0).alias("rank"), F.col("img").alias("dims"), F.array(back).alias("exp")))
+
+
+def first_inverse_of(f: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """For each image the least element of the first map (by map_id) that has it, in one dimension. Cost follows pieces that meet."""
+    _line_only(f)
+    return _first(inverse(f if allowed is None else restrict(f, allowed)).withColumnRenamed("map_id", "rank"))
+
+
 def reduce(f: DataFrame) -> DataFrame:
     """Closed form of endless iteration of x + h and x - h on one-dimensional pieces.
 

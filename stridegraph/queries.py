@@ -403,6 +403,28 @@ def map_min_of_long_pieces(spark, sf_dir):
     return got.select(F.expr("dims[0].b div 1000000000").alias("k"), i["e"].alias("at"), F.col("exp")[0]["m"]["num"].cast("int").alias("m"), iv.cardinal(i).alias("n_low"))
 
 
+@query(M + " select y as x, min(x) as y from f group by 1")
+def map_first_inverse(spark, sf_dir):
+    return maps.expand(maps.first_inverse_of(_pieces(spark, sf_dir)[0])).select("x", "y")
+
+
+@query(M + " select f.y as x, min(g.y) as y from f join g using (x) group by 1")
+def map_min_adjacent(spark, sf_dir):
+    return maps.expand(maps.min_adjacent_of(*_pieces(spark, sf_dir))).select("x", "y")
+
+
+@query("with p as (select s_suppkey as k, s_suppkey % 2 = 1 and s_suppkey - 1 in (select s_suppkey from supplier) as half, s_suppkey % 2 = 1 as odd from supplier) select k, 1000000000 * k - case when odd and not half then 500000000 else 0 end as first, cast(case when half then 500000000 else 1000000000 end as bigint) as n from p")
+def map_first_inverse_of_long_pieces(spark, sf_dir):
+    """Odd pieces of 10**9 elements are moved half onto the one before, which has the lesser elements."""
+    k, wide = F.col("s_suppkey").cast("bigint"), 1000000000
+    dims = F.array(iv.interval(wide * k, F.lit(1), wide * k + wide - 1))
+    by = F.when(k % 2 == 0, F.lit(0)).otherwise(F.lit(-wide // 2)).cast("bigint")
+    f = t.read(spark, sf_dir, "supplier").select(F.lit(0).alias("map_id"), dims.alias("dims"), F.array(ln.linear(F.lit(1), by)).alias("exp"))
+    i, back = F.col("dims")[0], F.col("exp")[0]["h"]["num"]
+    got = maps.first_inverse_of(f).select(iv.div(i["b"] + back, F.lit(wide)).alias("k"), i["b"].alias("b"), iv.cardinal(i).alias("n"))
+    return got.groupBy("k").agg(F.min("b").alias("first"), F.sum("n").alias("n"))
+
+
 # maps by pieces in two dimensions
 
 G2 = t.GRID_MAPS

@@ -92,6 +92,23 @@ def test_minimum_adjacent_and_priority(spark):
     assert {tuple(r) for r in maps.first_inverse(f).collect()} == {(10, 1), (11, 4)}
 
 
+def test_pieces_that_overlap_give_what_elements_give(spark):
+    """Steps, falling lines, constants, ties and map order against the forms by elements."""
+    rows = [(0, 0, 2, 40, 1, 3), (0, 1, 2, 41, -1, 60), (0, 50, 1, 70, 0, 9), (1, 80, 3, 110, 2, -150), (1, 111, 1, 130, 1, -100), (2, 140, 1, 150, 1, -130), (2, 160, 1, 160, 0, 9)]
+    other = [(0, 5, 1, 62, 3, 0), (0, 63, 1, 120, -2, 400), (0, 121, 1, 170, 1, 0)]
+    f, g = (
+        spark.createDataFrame(r, "map_id int, b long, s long, e long, m long, h long").select("map_id", F.array(iv.interval(F.col("b"), F.col("s"), F.col("e"))).alias("dims"), F.array(ln.linear(F.col("m"), F.col("h"))).alias("exp"))
+        for r in (rows, other)
+    )
+    allowed = sets.pieces(spark, [[(7, 1, 155)]])
+    plain = lambda d: sorted(tuple(r) for r in d.select("x", "y").collect())
+    e = maps.expand(f)
+    assert plain(maps.expand(maps.first_inverse_of(f))) == plain(maps.first_inverse(e))
+    assert plain(maps.expand(maps.first_inverse_of(f, allowed))) == plain(maps.first_inverse(e, e.where("x between 7 and 155")))
+    assert plain(maps.expand(maps.min_adjacent_of(f, g))) == plain(maps.min_adjacent(e, maps.expand(g)))
+    assert maps.first_inverse_of(f.limit(0)).count() == 0
+
+
 def test_cycles_do_not_settle(spark):
     for n in (2, 3, 4):
         with pytest.raises(ValueError):
