@@ -231,9 +231,15 @@ class Evaluator:
     def _scalar(self, df):
         return MapValue(self.kept(maps.compress(self.kept(df))))
 
+    def _joined(self, df):
+        """Pieces as one map, neighbours of one expression together."""
+        return MapValue(self.kept(maps.compact(self.kept(df.withColumn("map_id", F.lit(0))))))
+
     def call_firstInv(self, f, allowed=None):
         if allowed is not None:
             f = MapValue(self.kept(maps.restrict(f.df, self.as_set(allowed))))
+        if maps.arity(f.df) == 1:
+            return self._joined(maps.first_inverse_of(f.df))
         return self._scalar(maps.first_inverse(self.elements(f)))
 
     def call_minMap(self, f, g):
@@ -243,6 +249,8 @@ class Evaluator:
         return MapValue(self.kept(maps.reduce(f.df)))
 
     def call_minAdj(self, f, g):
+        if maps.arity(f.df) == 1:
+            return self._joined(maps.min_adjacent_of(f.df, g.df))
         return self._scalar(maps.min_adjacent(self.elements(f), self.elements(g)))
 
     def call_mapInf(self, f):
