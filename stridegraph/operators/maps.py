@@ -239,7 +239,13 @@ def _first(p: DataFrame) -> DataFrame:
     of each is a set difference with the piece's number as a dimension of its own.
     """
     scratch = Scratch(p.sparkSession, "first")
-    p = scratch.keep(p.select("rank", "dims", "exp", F.monotonically_increasing_id().alias("piece")))
+    i, e = F.col("dims")[0], F.col("exp")[0]
+    # many pieces may be sent to one value: of constants on equal pieces only the first meets the others
+    p = p.select("rank", "dims", F.when(i["b"] == i["e"], F.array(ln.linear(F.lit(0), ln.at(e, i["b"])))).otherwise(F.col("exp")).alias("exp"))
+    p = scratch.keep(p.withColumn("level", ln.is_constant(e) & (e["h"]["den"] == 1)))
+    level = p.where("level").groupBy("dims").agg(F.min(F.struct("rank", e["h"]["num"].alias("y"))).alias("v"))
+    p = p.where("not level").select("rank", "dims", "exp").unionByName(level.select("v.rank", "dims", F.array(ln.linear(F.lit(0), F.col("v.y"))).alias("exp")))
+    p = scratch.keep(p.withColumn("piece", F.monotonically_increasing_id()))
     other = p.select(F.col("rank").alias("orank"), F.col("dims").alias("od"), F.col("exp").alias("oe"), F.col("piece").alias("other"))
     pairs = sets.overlapping(p, other, "dims", "od").where("piece <> other and rank >= orank")
     pairs = pairs.withColumn("hit", iv.product_intersection(F.col("dims"), F.col("od"))).where("size(hit) > 0")

@@ -109,6 +109,13 @@ def test_pieces_that_overlap_give_what_elements_give(spark):
     assert maps.first_inverse_of(f.limit(0)).count() == 0
 
 
+def test_many_pieces_of_one_value(spark):
+    """Those of one value are settled before pieces meet: no pair for each two of them."""
+    n = 20000
+    f = spark.range(n).select(F.lit(0).alias("map_id"), F.array(iv.interval(3 * F.col("id") + 5, F.lit(1), 3 * F.col("id") + 6)).alias("dims"), F.array(ln.linear(F.lit(0), F.lit(9))).alias("exp"))
+    assert [(r.x, r.y) for r in maps.expand(maps.first_inverse_of(f)).collect()] == [(9, 5)]
+
+
 def test_cycles_do_not_settle(spark):
     for n in (2, 3, 4):
         with pytest.raises(ValueError):
