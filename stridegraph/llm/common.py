@@ -17,6 +17,9 @@ SPACES = " \t\n\x0b\x0c\r"
 #: Rows of a small table that may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 20_000
 
+#: Most 64-bit words of a filter that every executor holds.
+FILTER_WORDS = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,6 +35,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def sifted(rows: DataFrame, wanted: DataFrame, key: str, words: int = FILTER_WORDS) -> DataFrame:
+    """The rows whose key is in wanted (a written table), and about one in a hundred of the others, without a shuffle of rows.
+
+    A Bloom filter of a word for four keys, three bits a key, is broadcast. From 4 * words keys on the
+    words fill up, so more of the others pass; a wanted row always does.
+    """
+    n = min(words, wanted.count() // 4 + 1)
+    word, places = F.pmod(F.xxhash64(key), F.lit(n)), F.xxhash64(F.lit(1), key)
+    one = [F.call_function("shiftleft", F.lit(1).cast("long"), F.call_function("shiftrightunsigned", places, F.lit(6 * i)).bitwiseAND(63).cast("int")) for i in range(3)]
+    bits = one[0].bitwiseOR(one[1]).bitwiseOR(one[2])
+    held = wanted.select(word.alias("_word"), bits.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_held"))
+    return rows.join(F.broadcast(held), (word == F.col("_word")) & (F.col("_held").bitwiseAND(bits) == bits)).drop("_word", "_held")
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

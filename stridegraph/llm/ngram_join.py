@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stridegraph.llm.bytewords import mixed, word_hashes
-from stridegraph.llm.common import Scratch, components, folded, small, trimmed
+from stridegraph.llm.common import Scratch, components, folded, sifted, trimmed
 from stridegraph.llm.merge_tree import pack, pack_keys, unpack, unpack_keys
 
 #: Production parameters: words per shingle, least similarity (as a fraction), recall of pairs at that similarity, most hash functions, classes per side of a block.
@@ -195,7 +195,8 @@ def join(docs: DataFrame, numerator: int = NUMERATOR, denominator: int = DENOMIN
     members, pairs = chunked(scratch, classes.select("cid", F.explode("bands").alias("mark")), block)
 
     members = scratch.keep(members.join(classes.select("cid", "key", "n"), "cid"))
-    texts = docs.select(copy_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text")).join(small(members.select("key")), "key", "left_semi")
+    # only texts of members travel, whatever their number; the join with members drops what else the filter lets through
+    texts = sifted(docs.select(copy_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text")), members.select("key"), "key")
     texts = texts.groupBy("key").agg(F.first("text").alias("text"))
     alone = lambda f: lambda t: list(trimmed([f(t)]))[0]
     packed = members.join(texts, "key").select("chunk", "cid", "n", "text").groupBy("chunk").applyInArrow(alone(lambda t: _packed(t, k)), "chunk struct<home:long,part:int>, " + PACKED)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stridegraph.llm import ngram_join
+from stridegraph.llm.common import sifted
 
 
 def shingles(text, k=5):
@@ -126,3 +127,40 @@ def test_banding_reaches_recall():
     for s in (0.5, 0.8, 0.95):
         bands, rows = ngram_join.banding(s, 0.999)
         assert 1 - (1 - s**rows) ** bands >= 0.999 and bands * rows <= ngram_join.HASHES or rows == 1
+
+
+def test_texts_without_candidates_are_not_shuffled(spark, monkeypatch):
+    """As on a table with more classes in shared buckets than may be broadcast."""
+    monkeypatch.setattr(ngram_join, "small", lambda df, *_: df, raising=False)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before, sc = spark.conf.get(threshold), spark.sparkContext._jsc.sc()
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    base = [word() for _ in range(100)]
+    rows = [(i, " ".join(word() for _ in range(1000))) for i in range(400)] + [(1000 + i, " ".join([*base, f"own{i}"])) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(4)
+
+    def written():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    spark.conf.set(threshold, "-1")
+    try:
+        at = written()
+        got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.joined(docs).collect()}
+        shuffled = written() - at
+    finally:
+        spark.conf.set(threshold, before)
+    assert got == {d: (min(d, 1000), 19 if d >= 1000 else 0) for d, _ in rows}
+    assert 0 < shuffled < 0.2 * sum(len(t) for _, t in rows)
+
+
+def test_a_filter_keeps_all_that_is_wanted(spark, tmp_path):
+    spark.range(40_000).withColumn("key", F.md5(F.col("id").cast("string"))).write.parquet(f"{tmp_path}/keys")
+    rows = spark.read.parquet(f"{tmp_path}/keys")
+    wanted = rows.where("id % 8 = 0").select("key")
+    for words, most in ((1 << 20, 0.03), (16, 1)):  # the second is full
+        got = sifted(rows, wanted, "key", words)
+        assert got.columns == ["id", "key"] and got.where("id % 8 = 0").count() == 5000
+        assert got.where("id % 8 != 0").count() <= most * 35_000
+    assert sifted(rows, wanted.limit(0), "key").count() == 0
