@@ -14,8 +14,8 @@ one narrow pass. The model is of fixed size.
 Null text: empty. Null lang or source: a value of its own. Labels that are null are ignored, and of
 a document's several labels the mean decides (a half counts as good). Without labels of both classes every document
 has score 0.5 and is kept. Of rows with one doc_id the least teaches; all are scored. Of documents that
-are equally certain the first by doc_id is labelled. Very long texts: slices of 200 texts are made to
-features at once. An empty table gives an empty result. kept() returns all columns as they are,
+are equally certain the first by doc_id is labelled. Very long texts: portions of 2**18 code points,
+or one text, are made to features at once. An empty table gives an empty result. kept() returns all columns as they are,
 whatever their names; other columns than doc_id, text, lang, source and n_chars count for nothing.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stridegraph.llm.bytewords import SPACE, hashes, mixed, runs
-from stridegraph.llm.common import Scratch, trimmed
+from stridegraph.llm.common import Scratch, given_back, trimmed
 
 #: Production parameters: bound of the labelled sample, documents of a block, rounds of exchange, part of the pool that a view labels in a round, least certainty, and the score from which a document is kept.
 LABELLED, POOL, ROUNDS, SHARE, CERTAIN, KEEP = 4000, 4000, 4, 0.08, 0.95, 0.5
@@ -38,6 +38,10 @@ TEXT_BITS, META_BITS = 17, 12
 SCALE = 20.0
 #: Steps of one in which weights are summed over blocks: whole numbers, so that the order of summing does not matter.
 UNIT = 2.0**32
+#: Entries of a view that are widened at once. Does not change what is learnt but for the order of sums.
+STEP = 1 << 17
+#: Texts, and their code points, that are made to features at once. Does not change them.
+TEXTS, CHARS = 200, 1 << 18
 
 
 def layout(buf: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -101,42 +105,92 @@ def features(texts: list[str], langs: list, sources: list, sizes: list):
     return [tuple(np.concatenate(c) for c in zip(*view)) for view in (text, meta)]
 
 
-def summed(texts: list[str], langs: list, sources: list, sizes: list):
-    """As features(), in slices; each feature of a text once and in order, in narrow types."""
-    parts = [([], [], []), ([], [], [])]
-    for lo in range(0, len(texts), 200):
-        for out, (at, col, val) in zip(parts, features(*(c[lo : lo + 200] for c in (texts, langs, sources, sizes)))):
+def portions(texts: list[str]):
+    """Bounds of stretches of at most TEXTS texts and, where it is more than one, CHARS code points."""
+    lo = chars = 0
+    for i, t in enumerate(texts):
+        if i > lo and (i - lo == TEXTS or chars + len(t) > CHARS):
+            yield lo, i
+            lo, chars = i, 0
+        chars += len(t)
+    if texts:
+        yield lo, len(texts)
+
+
+def summed(texts: list[str], langs: list, sources: list, sizes: list, views=(), n: int = 0):
+    """As features(), in slices; each feature of a text once and in order, in narrow types. views: the same of n texts that go before."""
+    parts = [tuple([x] for x in view) for view in views] or [([], [], []), ([], [], [])]
+    for lo, hi in portions(texts):
+        for out, (at, col, val) in zip(parts, features(*(c[lo:hi] for c in (texts, langs, sources, sizes)))):
             keys, back = np.unique(at.astype(np.int64) << 32 | col, return_inverse=True)
-            out[0].append(((keys >> 32) + lo).astype(np.int32))
+            out[0].append(((keys >> 32) + n + lo).astype(np.int32))
             out[1].append((keys & 0xFFFFFFFF).astype(np.int32))
             out[2].append(np.bincount(back, val, len(keys)).astype(np.float32))
-    return [tuple(np.concatenate(c) for c in view) for view in parts]
+    out = []
+    for view in parts:
+        out.append([])
+        for c in view:
+            out[-1].append(np.concatenate(c))
+            c.clear()  # so one column at a time is there twice
+    given_back()
+    return [tuple(view) for view in out]
+
+
+def sliced(view, on: np.ndarray, features: int):
+    """The rows of a view (in order) that are on, in slices of whole rows, of some STEP entries; and the features, those of most entries first.
+
+    A slice: rows, where each begins, entries of each, places of their features in that order (so that
+    the frequent ones share cache lines), values.
+    """
+    begins = np.append(0, np.flatnonzero(view[0][1:] != view[0][:-1]) + 1)
+    cuts = np.append(np.unique(begins[np.searchsorted(begins, np.arange(0, len(view[0]), STEP), "right") - 1]), len(view[0]))
+    out, count = [], np.zeros(features, np.int64)
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        take = on[view[0][lo:hi]]
+        rows, cols, vals = (c[lo:hi][take] for c in view)
+        if len(rows):
+            heads = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            out.append([rows[heads], heads, np.diff(np.append(heads, len(rows))), cols, vals])
+            count += np.bincount(cols, minlength=features)
+    order = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
+    place = np.zeros(features, np.int32)
+    place[order] = np.arange(len(order))
+    for part in out:
+        part[3] = place[part[3]]
+    return out, order
 
 
 class Linear:
-    """Logistic regression on sparse rows, fitted by AdaGrad over all rows."""
+    """Logistic regression on sparse rows, fitted by AdaGrad over all rows. Entries stay in their narrow types; only those of a slice are widened."""
 
     def __init__(self, bits: int) -> None:
         self.w, self.bits, self.b = np.zeros(1 << bits), bits, 0.0
 
     def raw(self, view, n: int) -> np.ndarray:
         rows, cols, vals = view
-        return np.bincount(rows, self.w[cols] * vals, n) + self.b
+        z = np.zeros(n)
+        for lo in range(0, len(rows), STEP):
+            np.add.at(z, rows[lo : lo + STEP], self.w[cols[lo : lo + STEP]] * vals[lo : lo + STEP])
+        return z + self.b
 
     def fit(self, view, n: int, y: np.ndarray, weight: np.ndarray, steps: int = 60, rate: float = 0.5, decay: float = 1e-4) -> None:
-        rows, cols, vals = view
-        on = weight[rows] > 0
-        rows, cols, vals = rows[on].astype(np.int64), cols[on].astype(np.int64), vals[on].astype(float)
-        self.w[:], self.b = 0, 0.0
-        seen, seen_b, total = np.full(len(self.w), 1e-6), 1e-6, max(1e-9, weight.sum())
+        slices, order = sliced(view, weight > 0, len(self.w))
+        w, self.b = np.zeros(len(order)), 0.0
+        seen, seen_b, total = np.full(len(w), 1e-6), 1e-6, max(1e-9, weight.sum())
+        slope = lambda z, at: weight[at] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at]) / total
         for _ in range(steps):
-            z = np.bincount(rows, self.w[cols] * vals, n) + self.b
-            g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / total
-            gw = np.bincount(cols, g[rows] * vals, len(self.w)) + decay * self.w / total
+            # rows without entries have the offset alone
+            g, gw = slope(np.full(n, self.b), slice(None)), decay * w / total
+            for at, heads, sizes, cols, vals in slices:
+                cols = cols.astype(np.int64)
+                g[at] = slope(np.add.reduceat(w[cols] * vals, heads) + self.b, at)
+                gw += np.bincount(cols, np.repeat(g[at], sizes) * vals, len(gw))
             seen += gw * gw
-            self.w -= rate * gw / np.sqrt(seen)
+            w -= rate * gw / np.sqrt(seen)
             seen_b += g.sum() ** 2
             self.b -= rate * g.sum() / np.sqrt(seen_b)
+        self.w[:] = 0
+        self.w[order] = w
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -234,18 +288,25 @@ class CoTrained:
         return 1 / (1 + np.exp(-np.stack([*odds, both], 1)))
 
 
-def learner(views, y: np.ndarray, train: np.ndarray, first):
-    """The function that co-trains a block of unlabelled rows with the labelled ones and returns its weights (view, feature, weight); feature -1 is the offset, view -1 counts blocks."""
-    n = len(y)
+def teaching(views, y: np.ndarray, train: np.ndarray):
+    """Views and labels of the rows that train. Those that only calibrate teach no block, so they do not travel."""
+    place = (np.cumsum(train) - 1).astype(np.int32)
+    return [(place[v[0][on]], v[1][on], v[2][on]) for v in views for on in (train[v[0]],)], y[train]
+
+
+def learner(shared):
+    """The function that co-trains a block of unlabelled rows with the labelled ones and returns its weights (view, feature, weight); feature -1 is the offset, view -1 counts blocks. shared: a broadcast of what teaching() gives and of the models that those rows alone give; a worker holds it once, a closure twice."""
 
     def learn(block: pa.Table) -> pa.Table:
         block = block.sort_by([(c, "ascending") for c in ("doc_id", "text", "lang", "source", "n_chars")])
         ids = block.column("doc_id").to_numpy()
         block = block.take(pa.array(np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))))
-        own, k = summed(*(block.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars"))), block.num_rows
-        both = [tuple(np.concatenate(c) for c in ((a[0], b[0] + np.int32(n)), (a[1], b[1]), (a[2], b[2]))) for a, b in zip(views, own)]
-        none = np.zeros(k, bool)
-        models = exchanged(both, np.concatenate((y, np.zeros(k))), np.concatenate((np.ones(n, bool), none)), np.concatenate((train, none)), first)
+        (views, y, first), k = shared.value, block.num_rows
+        n = len(y)
+        both = summed(*(block.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars")), views, n)
+        del block
+        known = np.arange(n + k) < n
+        models = exchanged(both, np.concatenate((y, np.zeros(k))), known, known, first)
         out = [([-1], [0], [1])]
         for i, m in enumerate(models):
             at = np.flatnonzero(m.w)
@@ -295,8 +356,10 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled:
     if n:
         # a sum per feature is all that comes back, whatever the number of blocks
         block = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(-(-n // pool))).alias("block")
-        learnt = rest.select(block, F.col("doc_id").cast("long").alias("doc_id"), *cols).groupBy("block").applyInArrow(learner(views, y, parts[0], weights), "view int, feature int, weight long")
+        shared = docs.sparkSession.sparkContext.broadcast((*teaching(views, y, parts[0]), weights))
+        learnt = rest.select(block, F.col("doc_id").cast("long").alias("doc_id"), *cols).groupBy("block").applyInArrow(learner(shared), "view int, feature int, weight long")
         view, at, total = (c.to_numpy() for c in learnt.groupBy("view", "feature").agg(F.sum("weight").alias("weight")).toArrow().columns)
+        shared.destroy()
         blocks = total[view == -1][0]
         for i, (w, _) in enumerate(weights):
             mean = np.zeros(len(w))
@@ -308,7 +371,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled:
 def _scores(model: CoTrained, batch: pa.RecordBatch) -> np.ndarray:
     names = batch.schema.names
     cols = [batch.column(names.index(c)).to_pylist() for c in ("text", "lang", "source", "n_chars")]
-    out = [model.score([t or "" for t in cols[0][lo : lo + 200]], *(c[lo : lo + 200] for c in cols[1:])) for lo in range(0, len(cols[0]), 200)]
+    cols[0] = [t or "" for t in cols[0]]
+    out = [model.score(*(c[lo:hi] for c in cols)) for lo, hi in portions(cols[0])]
     return np.concatenate(out) if out else np.empty((0, 3))
 
 

@@ -58,15 +58,20 @@ def n_words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
+def given_back() -> None:
+    """Gives what this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def trimmed(batches):
-    """Passes batches on; at the end of a task gives what its worker has freed back to the system, as the worker waits for its next task."""
+    """Passes batches on; at the end of a task gives back what its worker has freed, as the worker waits for its next task."""
     try:
         yield from batches
     finally:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-        if trim:
-            trim(0)
+        given_back()
 
 
 def tasks_for(spark: SparkSession, at_least: int = 1) -> int:

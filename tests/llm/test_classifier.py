@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from stridegraph.llm import classifier
@@ -66,3 +68,51 @@ def test_pseudo_labels_come_from_all_unlabelled_documents(spark):
     feature = lambda word: int(classifier.hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0] >> np.uint64(64 - classifier.TEXT_BITS))
     # only a document with a marker's word gives weight to it
     assert sum(w[feature(text(i).split()[-1].encode())] != 0 for i in own) > pool
+
+
+def plain(view, n, y, weight, features, steps):
+    """Linear.fit on whole arrays."""
+    rows, cols, vals = (c.astype(t) for c, t in zip(view, (np.int64, np.int64, float)))
+    w, b, seen, seen_b, total = np.zeros(features), 0.0, np.full(features, 1e-6), 1e-6, max(1e-9, weight.sum())
+    for _ in range(steps):
+        g = weight * (1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols] * vals, n) + b, -30, 30))) - y) / total
+        gw = np.bincount(cols, g[rows] * vals, features) + 1e-4 * w / total
+        seen, seen_b = seen + gw * gw, seen_b + g.sum() ** 2
+        w, b = w - 0.5 * gw / np.sqrt(seen), b - 0.5 * g.sum() / np.sqrt(seen_b)
+    return w, b
+
+
+def test_a_fit_widens_a_slice_at_a_time_and_gives_what_whole_arrays_give(monkeypatch):
+    rng = np.random.default_rng(3)
+    n, size = 5000, 1_500_000
+    rows = np.sort(rng.choice(np.flatnonzero(np.arange(n) % 7), size)).astype(np.int32)  # each seventh row has no entries
+    view = rows, (rng.integers(0, 300, size) ** 2).astype(np.int32), rng.random(size).astype(np.float32)
+    y, weight = (rng.random(n) < 0.3).astype(float), rng.choice([0.0, 0.5, 1.0], n)
+    m = classifier.Linear(classifier.TEXT_BITS)
+    tracemalloc.start()
+    m.fit(view, n, y, weight, steps=3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 * size
+    w, b = plain(view, n, y, weight, len(m.w), 3)
+    assert np.allclose(m.w, w, atol=1e-9) and np.isclose(m.b, b)
+    for step in (1, 999, 10**9):
+        monkeypatch.setattr(classifier, "STEP", step)
+        few = tuple(c[:2000] for c in view)
+        m.fit(few, n, y, weight, steps=3)
+        w, b = plain(few, n, y, weight, len(m.w), 3)
+        assert np.allclose(m.w, w, atol=1e-9) and np.isclose(m.b, b)
+    m.fit(tuple(c[:0] for c in view), n, y, weight, steps=3)
+    assert not m.w.any()
+
+
+def test_features_do_not_depend_on_portions(monkeypatch):
+    texts = ["a b c a b c", "", "long " * 3000, "x", "y é z " * 40, "w" * 5000, "end"]
+    more = [["en"] * 7, ["s"] * 7, [None] * 7]
+    whole = classifier.summed(texts, *more)
+    monkeypatch.setattr(classifier, "CHARS", 4000)
+    assert [texts[lo:hi] for lo, hi in classifier.portions(texts)] == [texts[:2], texts[2:3], texts[3:5], texts[5:6], texts[6:]]
+    parts = classifier.summed(texts, *more)
+    after = classifier.summed(texts[3:], *(c[3:] for c in more), classifier.summed(texts[:3], *(c[:3] for c in more)), 3)
+    assert all(np.array_equal(a, b) and np.array_equal(a, c) and a.dtype == c.dtype for v in zip(whole, parts, after) for a, b, c in zip(*v))
+    assert not list(classifier.portions([]))
